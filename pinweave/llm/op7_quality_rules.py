@@ -18,11 +18,10 @@ is one word.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pinweave.llm.expressions import let
 from pinweave.llm.tables import table
 
 #: What separates words, and the characters that count as symbols.
@@ -30,11 +29,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
