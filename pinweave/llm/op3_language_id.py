@@ -160,6 +160,25 @@ def viterbi(begins: np.ndarray, which: np.ndarray, evidence: np.ndarray, switch:
     return labels
 
 
+def _judged(b: Block, model: Model) -> tuple[np.ndarray, ...]:
+    """(language, whether there is one, score) of each text, (label) of each word and (text) of each word."""
+    n, n_langs = len(b.texts), len(model.languages)
+    seen = _looked_at(b.words)
+    of_text = np.repeat(np.arange(n), np.diff(b.begins))
+    n_letters = seen.n_letters[b.which] if len(b.which) else np.zeros(0, np.int64)
+    if n_langs:
+        evidence = _evidence(model, seen)
+        labels = viterbi(b.begins, b.which, evidence)
+        told = (evidence.min(1) < 0)[b.which] | (n_langs == 1) if len(b.which) else np.zeros(0, bool)
+        share = np.bincount(of_text * n_langs + labels, n_letters * told, n * n_langs).reshape(n, n_langs)
+    else:
+        labels, share = np.zeros(len(b.which), np.int64), np.zeros((n, 1))
+    total = np.bincount(of_text, n_letters, n)
+    best = share.argmax(1)
+    known = (total > 0) & (n_langs > 0)
+    return best, known, np.where(known, share[np.arange(n), best] / np.maximum(total, 1), 0.0), labels, of_text
+
+
 def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """``docs`` as doc_id, lang_pred, score and, if asked for, spans.
 
@@ -175,22 +194,9 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
                 yield rows(batch.column("doc_id").slice(b.at, len(b.texts)), b)
 
     def rows(doc_ids: pa.Array, b: Block) -> pa.RecordBatch:
-        n, n_langs = len(b.texts), len(model.languages)
-        seen = _looked_at(b.words)
-        of_text = np.repeat(np.arange(n), np.diff(b.begins))
-        n_letters = seen.n_letters[b.which] if len(b.which) else np.zeros(0, np.int64)
-        if n_langs:
-            evidence = _evidence(model, seen)
-            labels = viterbi(b.begins, b.which, evidence)
-            told = (evidence.min(1) < 0)[b.which] | (n_langs == 1) if len(b.which) else np.zeros(0, bool)
-            share = np.bincount(of_text * n_langs + labels, n_letters * told, n * n_langs).reshape(n, n_langs)
-        else:
-            labels, share = np.zeros(len(b.which), np.int64), np.zeros((n, 1))
-        total = np.bincount(of_text, n_letters, n)
-        best = share.argmax(1)
-        known = (total > 0) & (n_langs > 0)
+        n_langs = len(model.languages)
+        best, known, score, labels, of_text = _judged(b, model)
         chosen = np.array([*model.languages, "und"], object)[np.where(known, best, n_langs)]
-        score = np.where(known, share[np.arange(n), best] / np.maximum(total, 1), 0.0)
         columns = [doc_ids, pa.array(chosen, pa.string()), pa.array(score)]
         if with_spans:
             starts = np.zeros(len(b.which) + 1, bool)
@@ -207,6 +213,23 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judged, schema)
 
 
+def in_a_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a score of ``least`` or more; all columns pass through.
+
+    Rows go with null texts, without letters, or where no language has that share of the letters.
+    """
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [np.zeros(0, bool)]
+            for b in blocks(batch.column("text")):
+                _, known, score, _, _ = _judged(b, model)
+                good.append(known & (score >= least))
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(judged, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")

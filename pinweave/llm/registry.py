@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pinweave.llm.op10_packing import op10_packing
+import corpus_pipeline
 from pinweave.llm import op1_quality_classifier, op2_secret_scans, op3_language_id, op4_jaccard_join, op5_source_mixing, op6_embedding_dedup, op7_quality_rules, op8_chat_formatting
 from pinweave.llm.op9_token_files import op9_token_files
 
@@ -15,8 +16,8 @@ _SQL = {"op5_source_mixing": op5_source_mixing.SQL, "op7_quality_rules": op7_qua
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
