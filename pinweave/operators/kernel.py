@@ -1,0 +1,373 @@
+"""The coarsest problem, in one process: plain arrays, no Spark.
+
+A ``Local`` graph has dense vertex ids. Every choice among equals goes to the
+smaller id after a seeded order, so equal seeds give equal results.
+"""
+
+from __future__ import annotations
+
+import heapq
+import random
+from dataclasses import dataclass, field
+
+from pinweave.functions.scalars import part_cap, recursive_balance
+
+
+@dataclass
+class Local:
+    weights: list[int]
+    edges: list[list[int]]  # two or more distinct pins each
+    edge_weights: list[int]
+    of_vertex: list[list[int]] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.of_vertex = [[] for _ in self.weights]
+        for e, pins in enumerate(self.edges):
+            for v in pins:
+                self.of_vertex[v].append(e)
+
+    @property
+    def total(self) -> int:
+        return sum(self.weights)
+
+
+def local(weights: list[int], edges: list[list[int]], edge_weights: list[int]) -> Local:
+    """A graph from any hyperedges: pins made distinct, short ones dropped, equal ones merged."""
+    merged: dict[tuple[int, ...], int] = {}
+    for pins, w in zip(edges, edge_weights, strict=True):
+        key = tuple(sorted(set(pins)))
+        if len(key) > 1:
+            merged[key] = merged.get(key, 0) + w
+    return Local(list(weights), [list(k) for k in merged], list(merged.values()))
+
+
+def cut(g: Local, part: list[int]) -> int:
+    """k-1 cut."""
+    return sum(w * (len({part[v] for v in pins}) - 1) for pins, w in zip(g.edges, g.edge_weights, strict=True))
+
+
+def first_choice(g: Local, cap: float, ratio: float, seed: int, fan_out: bool = True, by_weight: bool = True, part: list[int] | None = None) -> list[int] | None:
+    """Cluster of each vertex, or None if the graph doesn't shrink by ``ratio``.
+
+    Free vertices in random order join their best neighbour's cluster under the
+    cap; with ``part``, only inside a part.
+    """
+    n = len(g.weights)
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    cluster, weight = [-1] * n, []
+    check_from, visited, used = n - int(n / ratio - 1), 0, 0
+    for v in order:
+        visited += 1
+        if cluster[v] >= 0:
+            continue
+        score: dict[int, float] = {}
+        for e in g.of_vertex[v]:
+            gain = g.edge_weights[e] / (len(g.edges[e]) - 1) if fan_out else g.edge_weights[e]
+            for u in g.edges[e]:
+                if u != v and (part is None or part[u] == part[v]):
+                    score[u] = score.get(u, 0.0) + gain
+        best, best_score = -1, 0.0
+        for u, s in sorted(score.items()):
+            both = g.weights[v] + (weight[cluster[u]] if cluster[u] >= 0 else g.weights[u])
+            s = s / both if by_weight and both else s
+            if both <= cap and s > best_score:
+                best, best_score = u, s
+        if best < 0:
+            cluster[v] = len(weight)
+            weight.append(g.weights[v])
+            used += 1
+        elif cluster[best] >= 0:
+            cluster[v] = cluster[best]
+            weight[cluster[v]] += g.weights[v]
+            used += 1
+        else:
+            cluster[v] = cluster[best] = len(weight)
+            weight.append(g.weights[v] + g.weights[best])
+            used += 2
+        if visited >= check_from and n / (n - used + len(weight)) > ratio:
+            break
+    for v in range(n):
+        if cluster[v] < 0:
+            cluster[v] = len(weight)
+            weight.append(g.weights[v])
+    return cluster if weight and n / len(weight) >= min(ratio, 1.1) else None
+
+
+def contract(g: Local, cluster: list[int]) -> Local:
+    weights = [0] * (max(cluster, default=-1) + 1)
+    for v, c in enumerate(cluster):
+        weights[c] += g.weights[v]
+    return local(weights, [[cluster[v] for v in pins] for pins in g.edges], g.edge_weights)
+
+
+class _TwoWay:
+    """State of a bisection with gains in heaps; stale heap entries are skipped by their stamp."""
+
+    def __init__(self, g: Local, part: list[int]):
+        self.g, self.part = g, part
+        self.count = [[0, 0] for _ in g.edges]
+        for e, pins in enumerate(g.edges):
+            for v in pins:
+                self.count[e][part[v]] += 1
+        self.weight = [0, 0]
+        for v, p in enumerate(part):
+            self.weight[p] += g.weights[v]
+        self.gain = [self._gain(v) for v in range(len(part))]
+        self.locked = [False] * len(part)
+        self.heaps: list[list] = [[], []]
+        for v, p in enumerate(part):
+            self.heaps[p].append((-self.gain[v], v))
+        for h in self.heaps:
+            heapq.heapify(h)
+
+    def _gain(self, v: int) -> int:
+        p = self.part[v]
+        return sum(w * ((self.count[e][p] == 1) - (self.count[e][1 - p] == 0)) for e in self.g.of_vertex[v] for w in (self.g.edge_weights[e],))
+
+    def best(self, side: int, room: float) -> int:
+        """The free vertex of most gain on a side that fits the other, or -1."""
+        aside, heap, found = [], self.heaps[side], -1
+        while heap:
+            loss, v = heap[0]
+            if self.locked[v] or self.part[v] != side or -loss != self.gain[v]:
+                heapq.heappop(heap)
+            elif self.g.weights[v] > room:
+                aside.append(heapq.heappop(heap))
+            else:
+                found = v
+                break
+        for x in aside:
+            heapq.heappush(heap, x)
+        return found
+
+    def move(self, v: int) -> None:
+        s = self.part[v]
+        d = 1 - s
+        changed: dict[int, int] = {}
+        for e in self.g.of_vertex[v]:
+            w, c = self.g.edge_weights[e], self.count[e]
+            if c[d] == 0:
+                for u in self.g.edges[e]:
+                    changed[u] = changed.get(u, 0) + w
+            elif c[d] == 1:
+                u = next(u for u in self.g.edges[e] if self.part[u] == d)
+                changed[u] = changed.get(u, 0) - w
+            c[s] -= 1
+            c[d] += 1
+            if c[s] == 0:
+                for u in self.g.edges[e]:
+                    changed[u] = changed.get(u, 0) - w
+            elif c[s] == 1:
+                u = next(u for u in self.g.edges[e] if self.part[u] == s and u != v)
+                changed[u] = changed.get(u, 0) + w
+        self.part[v] = d
+        self.weight[s] -= self.g.weights[v]
+        self.weight[d] += self.g.weights[v]
+        for u, x in changed.items():
+            if u != v and x:
+                self.gain[u] += x
+                heapq.heappush(self.heaps[self.part[u]], (-self.gain[u], u))
+        self.gain[v] = self._gain(v)
+        heapq.heappush(self.heaps[d], (-self.gain[v], v))
+
+
+def fm_pass(g: Local, part: list[int], cap: float, early_exit: float = 1.0) -> tuple[list[int], int]:
+    """One pass of best feasible moves, each vertex once, kept up to the best prefix: (partition, gain)."""
+    s = _TwoWay(g, list(part))
+    moves, now, best, keep, poor = [], 0, 0, 0, 0
+    while True:
+        found = [s.best(p, cap - s.weight[1 - p]) for p in (0, 1)]
+        free = [(-s.gain[v], s.weight[1 - p], v) for p, v in enumerate(found) if v >= 0]
+        if not free:
+            break
+        loss, _, v = min(free)
+        s.move(v)
+        s.locked[v] = True
+        moves.append(v)
+        now -= loss
+        if now > best:
+            best, keep = now, len(moves)
+        poor += loss >= 0
+        if poor > len(part) * early_exit:
+            break
+    out = s.part
+    for v in moves[keep:]:
+        out[v] = 1 - out[v]
+    return out, best
+
+
+def rebalance_two(g: Local, part: list[int], cap: float) -> list[int]:
+    """Best-gain vertices out of an overweight side, while they fit the other."""
+    s = _TwoWay(g, list(part))
+    for p in (0, 1):
+        while s.weight[p] > cap and (v := s.best(p, cap - s.weight[1 - p])) >= 0:
+            s.move(v)
+            s.locked[v] = True
+    return s.part
+
+
+def fm(g: Local, part: list[int], cap: float, early_exit: float = 1.0) -> list[int]:
+    """Rebalance if need be, then passes while they gain."""
+    if max(sum(w for w, p in zip(g.weights, part, strict=True) if p == q) for q in (0, 1)) > cap:
+        part = rebalance_two(g, part, cap)
+    while True:
+        part, gain = fm_pass(g, part, cap, early_exit)
+        if gain <= 0:
+            return part
+
+
+def grow(g: Local, cap: float, seed: int) -> list[int]:
+    """Greedy growing: from a random vertex, best-gain vertices come over until the sides are even; then refined."""
+    n = len(g.weights)
+    part = [1] * n
+    if not n:
+        return part
+    s = _TwoWay(g, part)
+    s.move(random.Random(seed).randrange(n))
+    while s.weight[1] > s.weight[0] and (v := s.best(1, float("inf"))) >= 0:
+        s.move(v)
+    return fm(g, s.part, cap)
+
+
+def _key(g: Local, part: list[int], cap: float) -> tuple:
+    """Feasible before infeasible, then by cut, then by imbalance."""
+    side = [0, 0]
+    for w, p in zip(g.weights, part, strict=True):
+        side[p] += w
+    over = max(0, max(side) - cap)
+    return (over, cut(g, part), abs(side[0] - side[1]))
+
+
+def bisect(g: Local, cap: float, seed: int, runs: int = 10, ratio: float = 1.75, minimum: int = 100, v_cycles: str = "final-only") -> list[int]:
+    """Multilevel bisection with V-cycles: at the end, at every level, or off."""
+
+    def refined(level: Local, part: list[int]) -> list[int]:
+        return fm(level, part, cap, 0.05 if len(part) > 200 else 1.0)
+
+    def down(top: Local, inside: list[int] | None, salt: int) -> list[int]:
+        levels, part = [top], inside
+        matches: list[list[int]] = []
+        while len(levels[-1].weights) > minimum:
+            match = first_choice(levels[-1], max(cap - top.total / 2, max(top.weights, default=0), 1), ratio, seed + salt + len(levels), part=part)
+            if match is None:
+                break
+            matches.append(match)
+            if part is not None:
+                coarse = [0] * (max(match) + 1)
+                for v, c in enumerate(match):
+                    coarse[c] = part[v]
+                part = coarse
+            levels.append(contract(levels[-1], match))
+        tries = [grow(levels[-1], cap, seed + salt + 31 * i) for i in range(runs)] + ([part] if part is not None else [])
+        found = min(tries, key=lambda p: _key(levels[-1], p, cap))
+        for level, match in zip(levels[-2::-1], matches[::-1], strict=True):
+            found = refined(level, [found[c] for c in match])
+            if v_cycles == "all" and inside is None and 4 * len(level.weights) <= len(top.weights):
+                found = min(found, down(level, found, salt + 977), key=lambda p: _key(level, p, cap))
+        return found
+
+    part = down(g, None, 0)
+    for i in range(1, 6 if v_cycles != "off" else 1):
+        new = down(g, part, 7919 * i)
+        if _key(g, new, cap) >= _key(g, part, cap):
+            break
+        part = new
+    return part
+
+
+def greedy_pass(g: Local, part: list[int], k: int, cap: int, seed: int) -> tuple[list[int], int]:
+    """Vertices in random order move to the adjacent part of most gain, or at no loss to even out weights."""
+    part = list(part)
+    count = [dict() for _ in g.edges]
+    for e, pins in enumerate(g.edges):
+        for v in pins:
+            count[e][part[v]] = count[e].get(part[v], 0) + 1
+    weight = [0] * k
+    for v, p in enumerate(part):
+        weight[p] += g.weights[v]
+    order, total = list(range(len(part))), 0
+    random.Random(seed).shuffle(order)
+    for v in order:
+        s, w = part[v], g.weights[v]
+        alone = sum(g.edge_weights[e] for e in g.of_vertex[v] if count[e][s] == 1)
+        near: dict[int, int] = {}
+        for e in g.of_vertex[v]:
+            for p in count[e]:
+                near[p] = near.get(p, 0) + g.edge_weights[e]
+        degree = near.get(s, 0)
+        best, best_gain, best_even = s, 0, 0
+        for p in sorted(near):
+            if p == s or weight[p] + w > cap:
+                continue
+            gain, even = alone - degree + near[p], weight[s] - weight[p] - w
+            if gain > best_gain or gain == best_gain and even > best_even:
+                best, best_gain, best_even = p, gain, even
+        if best != s:
+            total += best_gain
+            part[v] = best
+            weight[s] -= w
+            weight[best] += w
+            for e in g.of_vertex[v]:
+                count[e][s] -= 1
+                if not count[e][s]:
+                    del count[e][s]
+                count[e][best] = count[e].get(best, 0) + 1
+    return part, total
+
+
+def greedy_kway(g: Local, part: list[int], k: int, cap: int, seed: int) -> list[int]:
+    for i in range(20):
+        part, gain = greedy_pass(g, part, k, cap, seed + i)
+        if gain <= 0:
+            break
+    return part
+
+
+def rebalance_kway(g: Local, part: list[int], k: int, cap: int) -> list[int]:
+    """Vertices of the heaviest overweight part go, at the least loss, where there is room. Infeasible rests stay."""
+    part = list(part)
+    weight = [0] * k
+    for v, p in enumerate(part):
+        weight[p] += g.weights[v]
+    while max(weight) > cap:
+        s = weight.index(max(weight))
+        best = None
+        for v in (v for v in range(len(part)) if part[v] == s):
+            for p in range(k):
+                if p != s and weight[p] + g.weights[v] <= cap:
+                    gain = 0
+                    for e in g.of_vertex[v]:
+                        pins = g.edges[e]
+                        gain += g.edge_weights[e] * ((sum(part[u] == s for u in pins) == 1) - (not any(part[u] == p for u in pins)))
+                    best = max(best or (gain, -v, -p), (gain, -v, -p))
+        if best is None:
+            return part
+        _, v, p = best[0], -best[1], -best[2]
+        weight[s] -= g.weights[v]
+        weight[p] += g.weights[v]
+        part[v] = p
+    return part
+
+
+def recursive_bisection(g: Local, k: int, eps: float, seed: int = 1, runs: int = 10, v_cycles: str = "final-only") -> list[int]:
+    """k parts, a power of two, by log2(k) levels of bisection; then rebalanced and refined k ways."""
+    if k & (k - 1) or k < 1:
+        raise ValueError("recursive bisection needs a power of two as number of parts")
+    cap, slack = part_cap(g.total, k, eps), recursive_balance(eps, k)
+    part = [0] * len(g.weights)
+
+    def split(ids: list[int], left: int, name: int) -> None:
+        if not left or not ids:
+            for v in ids:
+                part[v] = name
+            return
+        at = {v: i for i, v in enumerate(ids)}
+        sub = local([g.weights[v] for v in ids], [[at[v] for v in pins if v in at] for pins in g.edges], g.edge_weights)
+        limit = cap if left == 1 else sub.total / 2 * (1 + slack)
+        halves = bisect(sub, max(limit, (sub.total + 1) // 2), seed + 1009 * name + left, runs, v_cycles=v_cycles)
+        split([v for v in ids if halves[at[v]] == 0], left - 1, name)
+        split([v for v in ids if halves[at[v]] == 1], left - 1, name | 1 << (left - 1))
+
+    split(list(range(len(g.weights))), k.bit_length() - 1, 0)
+    return greedy_kway(g, rebalance_kway(g, part, k, cap), k, cap, seed)
