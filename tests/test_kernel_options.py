@@ -1,0 +1,81 @@
+import random
+
+import pytest
+
+from pinweave.functions import scalars as X
+from pinweave.operators import kernel
+from pinweave.plans.options import KEYS, Options, from_command_line, from_ini, to_ini
+
+
+def test_scalars():
+    assert [X.log2(n) for n in (0, 1, 2, 3, 16)] == [0, 0, 1, 1, 4]
+    assert all(X.is_power_of_2(n) for n in (0, 1, 2, 4, 1024, 65536))
+    assert not any(X.is_power_of_2(n) for n in (-1, 3, 9, 1023))
+    assert [X.half(n) for n in (2, 3, 4, 1024)] == [1, 2, 2, 512]
+    assert X.recursive_balance(0.05, 4) == pytest.approx(0.0123, abs=1e-4)
+    assert X.recursive_balance(0.05, 8) == pytest.approx(0.0082, abs=1e-4)
+    assert sorted(X.permutation(20, 3)) == list(range(20)) != X.permutation(20, 3)
+    assert X.numbers("12 a3 % 4") == [12, 3]
+
+
+def _random_graph(seed, n=60, m=120):
+    r = random.Random(seed)
+    return kernel.local([r.randint(1, 3) for _ in range(n)], [r.sample(range(n), r.randint(2, 5)) for _ in range(m)], [r.randint(1, 4) for _ in range(m)])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_incremental_gains_are_exact(seed):
+    g = _random_graph(seed)
+    r = random.Random(seed)
+    s = kernel._TwoWay(g, [r.randint(0, 1) for _ in g.weights])
+    for _ in range(40):
+        v = r.randrange(len(g.weights))
+        before, gain = kernel.cut(g, s.part), s.gain[v]
+        s.move(v)
+        assert kernel.cut(g, s.part) == before - gain
+        assert s.gain == [s._gain(u) for u in range(len(g.weights))]
+
+
+@pytest.mark.parametrize("k", [2, 4, 8])
+def test_recursive_bisection(k):
+    g = _random_graph(9)
+    part = kernel.recursive_bisection(g, k, 0.2, runs=3)
+    weights = [sum(w for w, p in zip(g.weights, part, strict=True) if p == i) for i in range(k)]
+    assert max(weights) <= X.part_cap(g.total, k, 0.2)
+    assert kernel.cut(g, part) <= kernel.cut(g, [v % k for v in range(len(part))])
+    assert part == kernel.recursive_bisection(g, k, 0.2, runs=3)
+    with pytest.raises(ValueError):
+        kernel.recursive_bisection(g, 3, 0.2)
+
+
+def test_first_choice_and_contract():
+    g = _random_graph(4)
+    match = kernel.first_choice(g, 8, 1.75, 1)
+    coarse = kernel.contract(g, match)
+    assert coarse.total == g.total and max(coarse.weights) <= 8
+    part = [i % 2 for i in range(len(coarse.weights))]
+    assert kernel.cut(coarse, part) == kernel.cut(g, [part[c] for c in match])
+    inside = kernel.first_choice(g, 8, 1.2, 1, part=[v % 2 for v in range(60)])
+    sides = {}
+    for v, c in enumerate(inside):
+        assert sides.setdefault(c, v % 2) == v % 2
+
+
+def test_rebalance():
+    g = _random_graph(5)
+    cap = X.part_cap(g.total, 4, 0.1)
+    part = kernel.rebalance_kway(g, [0] * 60, 4, cap)
+    assert max(sum(w for w, p in zip(g.weights, part, strict=True) if p == i) for i in range(4)) <= cap
+
+
+def test_options():
+    assert len(KEYS) == 41
+    with pytest.raises(ValueError):
+        Options({"number-of-parts": 1})
+    with pytest.raises(ValueError):
+        Options({"serial-partitioning.use-patoh": "true"})
+    own = Options({"number-of-parts": "8", "refinement.v-cycles": "best", "unknown": 1})
+    assert own["number-of-parts"] == 8
+    assert Options(from_ini(to_ini(own))).values == own.values
+    found = from_command_line(["--config", "x", "--number-of-parts", "16"], read=lambda _: "number-of-parts = 2\n[coarsening]\nreduction-ratio = 2.5\n")
+    assert found["number-of-parts"] == 16 and found["coarsening.reduction-ratio"] == 2.5
