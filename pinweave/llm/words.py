@@ -32,8 +32,12 @@ def blocks(texts: pa.Array) -> Iterator[Block]:
         lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(own))
         ends = lists.offsets.to_numpy()
         numbered = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        begins, which = ends - ends[0], numbered.indices.to_numpy(zero_copy_only=False)
-        yield Block(at, own, begins.astype(np.int64), which, numbered.dictionary)
+        begins, which = (ends - ends[0]).astype(np.int64), numbered.indices.to_numpy(zero_copy_only=False)
+        nothing = pc.index(numbered.dictionary, "").as_py()
+        if nothing >= 0:  # a text without words splits into an empty one
+            some = which != nothing
+            begins, which = np.concatenate(([0], np.cumsum(some)))[begins], which[some]
+        yield Block(at, own, begins, which, numbered.dictionary)
         at = to
 
 
