@@ -47,17 +47,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinweave.llm.components import components
-from pinweave.llm.tables import table
+from pinweave.llm.tables import lean, table
 from pinweave.storage import settled
 
-#: Groups of a point.
-GROUPS = 64
+#: Groups of a point in the trees, and the most tokens per group, on average, of the finer points that pairs are checked on.
+GROUPS, PER_GROUP = 64, 8
 #: Ratio of a size band's end to its begin.
 BAND = 1.25
 #: Members of a leaf of the tree, and of a tile of a cell.
 LEAF, TILE = 16, 2048
 #: Sets that a task remembers, so as not to place their copies again.
-SEEN = 1 << 18
+SEEN = 1 << 16
 #: Ids of documents whose sets are needed go to all executors up to this many (16 MB); beyond, Spark shuffles.
 BROADCAST_ROWS = 1 << 20
 
@@ -88,8 +88,23 @@ def node_of(tokens: np.ndarray) -> int:
     return int(xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1)
 
 
-def point_of(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens >> _U(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def point_of(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many tokens each group has; groups are ranges of the upper bits, so halving their number adds up neighbours."""
+    return np.bincount((tokens >> _U(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def fine_groups(size: int) -> int:
+    """Groups that hold PER_GROUP tokens or less on average, a power of two of at least GROUPS."""
+    return max(GROUPS, 1 << max(0, (size - 1) // PER_GROUP).bit_length())
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
+    """The summed minima of two points, the finer one folded to the other's groups."""
+    if len(p) > len(q):
+        p, q = q, p
+    if len(q) > len(p):
+        q = q.reshape(len(p), -1).sum(1)
+    return int(np.minimum(p, q).sum())
 
 
 class Threshold:
@@ -208,14 +223,14 @@ def _batches(rows: Iterator[tuple], kinds: list, names: list[str], most: int) ->
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without a set) and point of every document."""
+    """doc_id, n_shingles, node (null without a set), point and fine point of every document."""
     each = _sets(docs, n)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, len(s), node_of(s) if len(s) else None, point_of(s).tobytes() if len(s) else None) for i, s in each(batches, "doc_id"))
-        return _batches(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["doc_id", "n_shingles", "node", "point"], 4000)
+        rows = ((i, len(s), *((node_of(s), point_of(s).tobytes(), point_of(s, fine_groups(len(s))).tobytes()) if len(s) else (None, None, None))) for i, s in each(batches, "doc_id"))
+        return _batches(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["doc_id", "n_shingles", "node", "point", "fine"], 2000)
 
-    return docs.mapInArrow(described, "doc_id long, n_shingles long, node long, point binary")
+    return docs.mapInArrow(described, "doc_id long, n_shingles long, node long, point binary, fine binary")
 
 
 def in_cells(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -271,16 +286,16 @@ def stars(placed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link. ``nodes`` has node, rep, n_shingles and point."""
+    """The pairs (a, b) of nodes whose sets link. ``nodes`` has node, rep, n_shingles, point and fine."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.int32).reshape(-1, GROUPS) for x in ("pa", "pb"))
-                may = np.minimum(p, q).sum(1) >= t.needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-                yield batch.select(["a", "b"]).filter(pa.array(may))
+                needed = t.needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+                bounds = [overlap_bound(np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)) for x, y in zip(batch.column("pa"), batch.column("pb"), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(np.array(bounds) >= needed))
 
-    own = nodes.select("node", "n_shingles", "point")
+    own = nodes.select("node", "n_shingles", "fine")
     with_points = pairs.join(own.toDF("a", "na", "pa"), "a").join(own.toDF("b", "nb", "pb"), "b").where(t.num * F.greatest("na", "nb") <= t.den * F.least("na", "nb"))
     left = settled(with_points.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded, "a long, b long"), "survivors")
     needed = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
@@ -361,10 +376,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes_of(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, for n-grams of ``n`` words and a similarity of ``num``/``den``."""
     t = Threshold(num, den)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = settled(describe(docs, n), "described")
     reps = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    nodes = settled(described.where("node IS NOT NULL").join(reps.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["node"]).select("node", "rep", "n_shingles", "point"), "nodes")
+    nodes = settled(described.where("node IS NOT NULL").join(reps.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["node"]).select("node", "rep", "n_shingles", "point", "fine"), "nodes")
 
     star_rows = settled(stars(in_cells(docs, n, t)), "stars")
     near = verified(star_rows.select("a", "b").distinct(), nodes, docs, n, t)
