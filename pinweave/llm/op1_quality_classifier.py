@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinweave.llm.tables import held_out, table
+from pinweave.llm.tables import held_out, lean, table
 from pinweave.llm.words import Block, blocks, letters, ngrams
 
 SAMPLE_DOCS = 4000
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("quality"))
     lowest = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(lowest), "doc_id").select("doc_id", "text", "quality")
+    sample = lean(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(lowest), "doc_id").select("doc_id", "text", "quality")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +178,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 for at, terms in counts(b):
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.at + at, len(terms)), pa.array(score(shared.value, terms))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinweave.llm.tables import held_out, table
+from pinweave.llm.tables import held_out, lean, table
 from pinweave.llm.words import Block, blocks, letters, ngrams
 
 SAMPLE_DOCS = 3000
@@ -91,7 +91,7 @@ def _looked_at(words: pa.Array) -> _Words:
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Character statistics of each language, from documents outside the held-out fold."""
-    open_rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    open_rows = lean(docs).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     lowest = open_rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     sample = open_rows.join(F.broadcast(lowest), "doc_id", "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
 
@@ -210,7 +210,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
             columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(at, b.begins).astype(np.int32)), spans))
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judged, schema)
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judged, schema)
 
 
 def in_a_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -227,7 +227,7 @@ def in_a_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
                 good.append(known & (score >= least))
             yield batch.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(judged, docs.schema)
+    return lean(docs).mapInArrow(judged, docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

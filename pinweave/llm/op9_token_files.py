@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pinweave.llm.tables import table
+from pinweave.llm.tables import lean, table
 from pinweave.llm.tokens import encoder, vocabulary_path
 from pinweave.storage import new_path
 
@@ -54,7 +54,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end
                 )
                 start += int(ends[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(encoded, SCHEMA).write.options(
         **{
             "compression": "zstd",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,3 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for the fold that no model learns from; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
+
+
+#: Bytes of rows that Spark hands to Python at once: long texts would otherwise come by 64 MB, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """``df``, with batches to Python bounded to BATCH_BYTES in its session, where they were larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(key))) == 64 << 20:
+        conf.set(key, str(BATCH_BYTES))
+    return df

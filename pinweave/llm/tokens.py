@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 #: Longer pieces are not kept in the memo, as they hardly repeat.
 LONGEST_KEPT = 32
 #: Pieces in one of the memo's two generations.
-GENERATION = 500_000
+GENERATION = 150_000
 #: Bytes of text that are split at once; a longer text makes a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 #: One pre-token under every vocabulary here: normal form and lower case change each letter alone.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
