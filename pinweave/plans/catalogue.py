@@ -473,7 +473,8 @@ _PART_SQL = "SELECT count(*) AS covered, true AS in_range, true AS balanced, tru
 
 
 def _options(**more) -> Options:
-    return Options().but(coarsening__minimum_coarse_vertices=200, recursive_bisection__number_of_initial_partitioning_runs=4, coarsening__connectivity_metric=2, **more)
+    own = {"recursive_bisection__v_cycles": "off", "recursive_bisection__number_of_initial_partitioning_runs": 2, "coarsening__minimum_coarse_vertices": 100, "coarsening__connectivity_metric": 2}
+    return Options().but(**own | more)
 
 
 @_query(sql=_CLUSTER_SQL)
@@ -513,7 +514,7 @@ def initial_bisection(g):
 @_query(sql=", c AS (SELECT DISTINCT v // greatest(1, (SELECT count(*) FROM verts) // 200) AS c FROM verts) SELECT count(*) AS covered, true AS in_range FROM c")
 def recursive_bisection(g):
     coarse, _ = _coarsest(g)
-    parts = control.bisections(coarse, 8, _options(recursive_bisection__v_cycles="off"), 1)
+    parts = control.bisections(coarse, 8, _options(), 1)
     one = settled(parts.where("pid = 0"))
     return one.agg(F.count("*").alias("covered"), F.bool_and((F.col("part") >= 0) & (F.col("part") < 8)).alias("in_range"))
 
