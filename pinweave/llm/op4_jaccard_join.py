@@ -180,22 +180,36 @@ class Tree:
 def join(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, tile: np.ndarray, t: Threshold) -> Iterator[tuple[int, int]]:
     """Pairs of different classes that the bound can't rule out; over two tiles, only pairs between them."""
     two = tile.any()
+    points = points.astype(np.uint16) if points.max(initial=0) < 1 << 16 else points
     left = np.flatnonzero(tile == 0)
     right = np.flatnonzero(tile == 1) if two else left
-    a, b = Tree(points[left], sizes[left]), Tree(points[right], sizes[right])
+    if len(left) * len(right) <= LEAF * LEAF * 16:  # no tree pays off
+        x, y = np.nonzero(classes[left][:, None] != classes[right])
+        x, y = left[x], right[y]
+        x, y = (x, y) if two else (x[x < y], y[x < y])
+        may = np.minimum(points[x], points[y]).sum(1) >= t.needed(sizes[x], sizes[y])
+        yield from zip(x[may].tolist(), y[may].tolist(), strict=True)
+        return
+    a = Tree(points[left], sizes[left])
+    b = Tree(points[right], sizes[right]) if two else a
     for i in range(len(a.begins)):
         own = left[a.leaf(i)]
-        for j in b.leaves_for(a.upper[i], a.least[i], a.most[i], t):
-            if not two and j < i:
-                continue
-            other = right[b.leaf(j)]
-            apart = classes[own][:, None] != classes[other][None]
-            if not two and i == j:
-                apart &= np.triu(np.ones_like(apart), 1)
-            x, y = np.nonzero(apart)
-            x, y = own[x], other[y]
-            may = np.minimum(points[x], points[y]).sum(1) >= t.needed(sizes[x], sizes[y])
-            yield from zip(x[may].tolist(), y[may].tolist(), strict=True)
+        near = b.leaves_for(a.upper[i], a.least[i], a.most[i], t)
+        near = near if two else near[near >= i]
+        if not len(near):
+            continue
+        other = right[np.concatenate([b.leaf(j) for j in near])]
+        apart = classes[own][:, None] != classes[other][None]
+        if not two and near[0] == i:
+            apart[:, : len(own)] &= np.triu(np.ones((len(own), len(own)), bool), 1)
+        least, most = np.minimum.outer(sizes[own], sizes[other]), np.maximum.outer(sizes[own], sizes[other])
+        apart &= t.num * most <= t.den * least
+        across = np.ascontiguousarray(points[other].T)  # groups by members: sums run along rows
+        for k, x in enumerate(own.tolist()):
+            if apart[k].any():
+                bound = np.minimum(across, points[x][:, None]).sum(0, dtype=np.int32)
+                for y in other[apart[k] & (bound >= t.needed(sizes[x], sizes[other]))].tolist():
+                    yield x, y
 
 
 def _sets(docs: DataFrame, n: int):
@@ -338,12 +352,10 @@ def tree_pairs(star_rows: DataFrame, nodes: DataFrame, classes: DataFrame, t: Th
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int, int]]:
-            for own in _groups(batches):
-                node, size, c = (own.column(x).to_numpy() for x in ("node", "n_shingles", "c"))
-                points = np.frombuffer(b"".join(own.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
-                tile = (own.column("tile").to_numpy() != own.column("i").to_numpy()).astype(int)
-                if (c != c[0]).any() and (own.column("i")[0] == own.column("j")[0] or tile.any() and not tile.all()):
-                    for x, y in join(points, size, c, tile, t):
+            for node, size, c, i, j, tile, points in _cells(batches):
+                second = (tile != i).astype(int)
+                if (c != c[0]).any() and (i == j or second.any() and not second.all()):
+                    for x, y in join(points, size, c, second, t):
                         yield min(node[x], node[y]), max(node[x], node[y])
 
         return _batches(pairs(), [pa.int64(), pa.int64()], ["a", "b"], 1 << 15)
@@ -351,26 +363,24 @@ def tree_pairs(star_rows: DataFrame, nodes: DataFrame, classes: DataFrame, t: Th
     return pointed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(searched, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with equal (key, i, j). A run has two tiles at most."""
-    held: list[pa.RecordBatch] = []
-
-    def name(b: pa.RecordBatch, k: int) -> tuple:
-        return tuple(b.column(x)[k].as_py() for x in ("key", "i", "j"))
-
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(node, size, class, i, j, tile, points) of runs with equal (key, i, j), as arrays; columns are decoded once a batch."""
+    kept: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(x).to_numpy() for x in ("key", "i", "j")]
-        changes = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1
-        for a, b in zip([0, *changes.tolist()], [*changes.tolist(), batch.num_rows], strict=True):
-            own = batch.slice(a, b - a)
-            if held and name(held[0], 0) != name(own, 0):
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            held.append(own)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        own = [batch.column(x).to_numpy() for x in ("key", "i", "j", "node", "n_shingles", "c", "tile")]
+        own.append(np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, GROUPS))
+        if kept is not None:
+            own = [np.concatenate(x) for x in zip(kept, own, strict=True)]
+        key, i, j, node, size, c, tile, points = own
+        begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            yield node[a:b], size[a:b], c[a:b], i[a], j[a], tile[a:b], points[a:b]
+        kept = [x[begins[-1] :] for x in own]  # the last run may go on: two tiles at most
+    if kept is not None:
+        key, i, j, node, size, c, tile, points = kept
+        yield node, size, c, i[0], j[0], tile, points
 
 
 def classes_of(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
