@@ -112,6 +112,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
                     if held >= _OUT_BYTES:
                         yield rows(out)
                         out, held = [], 0
+        code.rest()
         if out:
             yield rows(out)
 

@@ -53,6 +53,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end
                     ["doc_id", "shard", "local_start", "n_tokens", "ids"],
                 )
                 start += int(ends[-1])
+        code.rest()
 
     rows = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(encoded, SCHEMA).write.options(

@@ -81,6 +81,10 @@ class Encoder:
             yield at, *self._block(texts.slice(at, to - at))
             at = to
 
+    def rest(self) -> None:
+        """Give the memo's memory back: a task calls it at its end, as workers outlive tasks and idle beside others' work."""
+        self.young, self.old = {}, {}
+
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # \r marks the first piece of a text: no space stands before it
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -155,7 +159,7 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(file: str, keeps_blanks: bool) -> Encoder:
-    """This process's encoder for a file; Python workers live on, and so does its memo."""
+    """This process's encoder for a file; the vocabulary stays loaded while the worker lives."""
     key = (file, keeps_blanks)
     if key not in _encoders:
         _encoders[key] = Encoder(file, keeps_blanks)
