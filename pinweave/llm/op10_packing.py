@@ -5,6 +5,9 @@ histogram has at most ``size`` bins whatever the number of documents, so the
 plan is made on it alone: lengths go longest first, each to the shortest pack
 that has room, and packs of equal content are one pattern with a count.
 Patterns then go back to the pieces by their rank among pieces of that length.
+Where that leaves more than ``MOST_PADDING``, as a hot length that divides badly
+into ``size`` does, the packs below that fill are laid end to end instead and
+their pieces cut at the ends of sequences, each once at most.
 
 Ranks need no sort of all pieces: each task numbers its own pieces of a length
 as it writes them, and a prefix sum over (task, length) counts, a small table
@@ -37,6 +40,8 @@ _PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, sha
 _OUT_BYTES = 4 << 20
 #: Offsets, one row per task and length, go to all executors up to this many rows (24 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 1 << 20
+#: Remainders are cut again only if packing them whole leaves a larger share of the sequences empty.
+MOST_PADDING = 0.01
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -61,8 +66,12 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...]
             while open_totals and not by_total[open_totals[0]]:
                 del by_total[heapq.heappop(open_totals)]
             shortest = open_totals[0] if open_totals else size
-            if shortest + length > size:
-                put((length,), left)
+            if shortest + length > size:  # as one by one: a new pack is the shortest until it has no room
+                each = size // length
+                if left >= each:
+                    put((length,) * each, left // each)
+                if left % each:
+                    put((length,) * (left % each), 1)
                 break
             pack = min(by_total[shortest])
             n = min(left, by_total[shortest][pack])
@@ -74,18 +83,24 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...]
     return sorted((pack, n) for packs in by_total.values() for pack, n in packs.items())
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: first rank of each slot, first sequence of its pattern, offset in the sequence."""
+def slots(plan: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: first rank of each slot, its position among all sequences' ids, and the ids from one such pack to the next.
+
+    Packs are ``size`` apart, or end to end after all others where they are laid so.
+    """
+    used, packs = sum(sum(pack) * n for pack, n in plan), sum(n for _, n in plan)
+    least = size * (1 - MOST_PADDING) if used < packs * size * (1 - MOST_PADDING) else 0
     rows: dict[int, list[tuple[int, int, int]]] = {}
     rank: Counter = Counter()
-    sequence = 0
-    for pack, n in plan:
-        offset = 0
+    position = 0
+    for pack, n in sorted(plan, key=lambda x: sum(x[0]) < least):
+        step = size if sum(pack) >= least else sum(pack)
+        at = position
         for length in pack:
-            rows.setdefault(length, []).append((rank[length], sequence, offset))
+            rows.setdefault(length, []).append((rank[length], at, step))
             rank[length] += n
-            offset += length
-        sequence += n
+            at += length
+        position += n * step
     return {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in rows.items()}
 
 
@@ -133,7 +148,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
     cut = settled(pieces(docs, vocabulary, end_id, size), "pieces", compression="zstd")
     counts = settled(cut.groupBy("shard", "length").agg(F.count("*").alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `size` rows at most
-    place = slots(patterns(histogram, size))
+    place = slots(patterns(histogram, size), size)
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "length", F.coalesce(before, F.lit(0)).alias("before"))
@@ -142,14 +157,25 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
         for batch in batches:
             lengths = batch.column("length").to_numpy()
             ranks = batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            position = np.zeros(len(lengths), np.int64)
             order = np.argsort(lengths, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
-                first, sequences, at = place[int(lengths[own[0]])]
+                first, at, step = place[int(lengths[own[0]])]
                 k = np.searchsorted(first, ranks[own], side="right") - 1
-                sequence[own], offset[own] = sequences[k] + ranks[own] - first[k], at[k]
-            kept = [batch.column(x) for x in ("doc_id", "start", "length", "doc_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays([*kept[:4], pa.array(sequence), pa.array(offset), kept[4]], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                position[own] = at[k] + (ranks[own] - first[k]) * step[k]
+            yield rows(batch, np.arange(len(lengths)), np.zeros(len(lengths), np.int64), np.minimum(lengths, size - position % size), position)
+            over = np.flatnonzero(position % size + lengths > size)
+            if len(over):
+                skip = size - position[over] % size
+                yield rows(batch, over, skip, lengths[over] - skip, position[over] + skip)
+
+    def rows(batch: pa.RecordBatch, which: np.ndarray, skip: np.ndarray, length: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
+        own, ids = batch.take(pa.array(which)), batch.column("ids")
+        if (length < own.column("length").to_numpy()).any():
+            ids = pa.array([ids[i].as_py()[4 * s : 4 * (s + n)] for i, s, n in zip(which.tolist(), skip.tolist(), length.tolist(), strict=True)], pa.binary())
+        start = pa.array(own.column("start").to_numpy() + skip)
+        columns = [own.column("doc_id"), start, pa.array(length.astype(np.int32)), own.column("doc_tokens"), pa.array(position // size), pa.array(position % size), ids]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     if counts.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)

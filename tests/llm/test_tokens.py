@@ -85,6 +85,38 @@ def test_little_padding():
     assert lengths.sum() / (1024 * sum(n for _, n in plan)) > 0.99
 
 
+@pytest.mark.parametrize("rest, hot, n", [("uniform", 40, 50_000), ("lognormal", 100, 50_000), (None, 100, 100_000), (None, 520, 100_000)])
+def test_little_padding_with_a_hot_length(rest, hot, n):
+    rng = np.random.default_rng(1)
+    others = {"uniform": rng.integers(1, 1025, 100_000), "lognormal": np.clip(rng.lognormal(5, 1, 100_000).astype(int), 1, 1024), None: np.zeros(0, int)}[rest]
+    lengths = np.append(others, np.full(n, hot))
+    histogram = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
+    place = op10_packing.slots(op10_packing.patterns(histogram, 1024), 1024)
+    begins = []
+    for length, count in histogram.items():
+        first, at, step = place[length]
+        k = np.searchsorted(first, np.arange(count), side="right") - 1
+        begins.append(np.stack((at[k] + (np.arange(count) - first[k]) * step[k], np.full(count, length)), 1))
+    begin, length = np.concatenate(begins)[np.argsort(np.concatenate(begins)[:, 0])].T
+    assert (begin[1:] >= (begin + length)[:-1]).all()
+    assert lengths.sum() / (1024 * -(-(begin + length).max() // 1024)) > 0.98
+
+
+def test_packing_cuts_a_hot_length(spark):
+    docs = spark.createDataFrame([(i, " ".join(["a"] * 39)) for i in range(64)], "doc_id long, text string")
+    rows = sorted(op10_packing.pack(docs, size=64).collect(), key=lambda r: (r.doc_id, r.start))
+    whole, places = {}, {}
+    for r in rows:
+        assert r.start == len(whole.get(r.doc_id, b"")) // 4 and len(r.ids) == 4 * r.length
+        whole[r.doc_id] = whole.get(r.doc_id, b"") + r.ids
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(whole) == 64 and len(set(whole.values())) == 1 and {len(x) for x in whole.values()} == {4 * rows[0].doc_tokens}
+    assert sorted(places) == list(range(-(-64 * rows[0].doc_tokens // 64)))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist() and sum(own[-1]) <= 64
+
+
 def test_query_checksums(spark):
     from tests.conftest import SF
 
