@@ -118,6 +118,21 @@ def test_relieve(spark, g):
     assert _rows(A.part_weights(g, parts, 2)) == [(0, 3), (1, 3)]
 
 
+@pytest.mark.parametrize("k", [16, 32])
+def test_relieve_one_hot_part(spark, k):
+    n = 100 * k
+    ring = hypergraph(spark.range(n).selectExpr("id AS e", f"explode(array(id, (id + 1) % {n})) AS v"))
+    parts = R.relieve(ring, spark.range(n).selectExpr("id AS v", "0L AS part"), k, 105)
+    assert A.validity(ring, parts, k, 105).first() == (True, True, True)
+
+
+def test_relieve_moves_what_slices_cannot(spark):
+    pins = spark.createDataFrame([(0, 0), (0, 1)], "e long, v long")
+    heavy = hypergraph(pins, spark.createDataFrame([(v, 5) for v in range(4)], "v long, w long"))
+    parts = R.relieve(heavy, _map(spark, [0, 0, 0, 1], "part"), 2, 10)
+    assert _rows(A.part_weights(heavy, parts, 2)) == [(0, 10), (1, 10)]
+
+
 def test_empty_graph(spark):
     none = hypergraph(spark.createDataFrame([], "e long, v long"))
     parts = spark.createDataFrame([], "v long, part long")
