@@ -6,10 +6,11 @@ a penalty for each switch, labels spans. Texts of a block step through their
 words together, so the work is vectorised over texts, and memory is bounded by
 the block, not by a text's length times a batch's rows.
 
-The model is learned from ``SAMPLE_DOCS`` documents at most (lowest by hash,
-outside the held-out fold, with a language and a text): counts per (language,
-bucket), a table bounded by languages times ``BUCKETS``. Everything else covers
-all documents, whole.
+The model is learned from ``SAMPLE_DOCS`` documents of each language at most
+(lowest by hash, outside the held-out fold, with a text), so that every labelled
+language is learned at every size: counts per (language, bucket), a table
+bounded by languages times ``BUCKETS``. Everything else covers all documents,
+whole.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
 where nothing could be learned, every text is; a text whose letters are all in
@@ -25,7 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinweave.llm.tables import held_out, lean, table
@@ -91,9 +92,15 @@ def _looked_at(words: pa.Array) -> _Words:
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Character statistics of each language, from documents outside the held-out fold."""
-    open_rows = lean(docs).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    lowest = open_rows.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = open_rows.join(F.broadcast(lowest), "doc_id", "left_semi").select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    open_rows = lean(docs).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("lang", F.col("lang").cast("string"))
+    known = open_rows.where("doc_id IS NOT NULL").select("lang", "doc_id").distinct()
+    totals = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    # about twice the documents wanted of each language, so that no task ranks all of one
+    ends = [(x, min(2**63 - 1, -(2**63) + 2**65 * sample_docs // n)) for x, n in totals.items()]
+    low = known.join(F.broadcast(docs.sparkSession.createDataFrame(ends, "lang string, end long")), "lang").where(F.xxhash64("doc_id") <= F.col("end"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    lowest = low.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "doc_id")
+    sample = open_rows.join(F.broadcast(lowest), ["lang", "doc_id"], "left_semi").select("lang", F.col("text").cast("string"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,8 +118,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(both[at])], ["lang", "at", "n"])
 
     counts = sample.mapInArrow(counted, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
-    sizes = counts[counts["at"] < BUCKETS].groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable")
-    languages = [str(x) for x in sizes.index]
+    languages = sorted(map(str, counts[counts["at"] < BUCKETS]["lang"].unique()), key=lambda x: (-totals[x], x))
     every = np.zeros((BUCKETS + len(SCRIPTS), len(languages)))
     for i, name in enumerate(languages):
         own = counts[counts["lang"] == name]

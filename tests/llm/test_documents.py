@@ -229,3 +229,12 @@ def test_rules_odd(spark, odd, none):
     assert {r.doc_id % 2 for r in op7.judge(docs).where("kept").collect()} == {1}
     copies = docs.withColumn("text", F.lit(f"{line}\n{line[::-1]}"))
     assert op7.judge(copies).where("kept").count() == 40
+
+
+def test_every_language_is_learned_at_every_size(spark):
+    rows = [(i, "en", f"plain words of text number {i}") for i in range(1000)] + [(1000 + i, "ru", f"простые слова текста номер {i}") for i in range(1001)] + [(5000 + i, "ka", "ქართული ენა არის") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = op3.learn(docs, sample_docs=20)
+    assert sorted(model.languages) == ["en", "ka", "ru"]
+    found = {r.lang_pred for r in op3.identify(docs.where("lang = 'ka'"), model).collect()}
+    assert found == {"ka"} and op3.in_a_language(docs, model).where("lang = 'ka'").count() == 12
