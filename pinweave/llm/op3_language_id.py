@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pinweave.llm.tables import held_out, lean, table
+from pinweave.llm.tables import give_back, held_out, lean, table
 from pinweave.llm.words import Block, blocks, letters, ngrams
 
 SAMPLE_DOCS = 3000
@@ -116,6 +116,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                     both = np.concatenate((grams, scripts))
                     at = np.flatnonzero(both)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(both[at])], ["lang", "at", "n"])
+        give_back()
 
     counts = sample.mapInArrow(counted, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(map(str, counts[counts["at"] < BUCKETS]["lang"].unique()), key=lambda x: (-totals[x], x))
@@ -198,6 +199,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
         for batch in batches:
             for b in blocks(batch.column("text")):
                 yield rows(batch.column("doc_id").slice(b.at, len(b.texts)), b)
+        give_back()
 
     def rows(doc_ids: pa.Array, b: Block) -> pa.RecordBatch:
         n_langs = len(model.languages)
@@ -232,6 +234,7 @@ def in_a_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
                 _, known, score, _, _ = _judged(b, model)
                 good.append(known & (score >= least))
             yield batch.filter(pa.array(np.concatenate(good)))
+        give_back()
 
     return lean(docs).mapInArrow(judged, docs.schema)
 

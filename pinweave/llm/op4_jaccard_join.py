@@ -6,62 +6,71 @@ exchange. Tokens are hashed into groups, and a node's group counts are a point.
 For two sets the overlap is at most the sum of the smaller counts of each
 group, and what a link leaves unshared is at most r = (|A|+|B|)(1-t)/(1+t).
 
-*Cells.* The fine groups of a size band are cut into more than r blocks. Two
-linked sets differ by r tokens at most, so of the blocks that hold a token at
-least one is equal in both: equal block content is the key of a cell. A set
-with too few filled blocks (tiny ones, mostly) goes to a cell of its band for
-such sets, where a tree over points does the pruning. No link is lost, and
-unlike texts share a cell by common passages only.
+*Cells* deal the index out to tasks: points are parted by size and by equal
+coordinates. The groups of a size band are cut into blocks, more than r. Two
+linked sets differ by r tokens at most, so all but r of the blocks that one of
+them fills are equal in both: equal content of a block is the key of a cell. Of
+its b keys a set keeps the r + 1 rarest ones, as two linked sets still share one
+of these; so passages that many documents have make no cells. A set that fills
+r blocks or fewer also has a cell for each token of its prefix, of which two
+such sets that link share one. No link is lost.
 
 *Stars.* In each cell every node is compared to the cell's smallest. Links so
 found make components; a cell whose nodes are all in one is done, which settles
 groups of thousands of near copies in one comparison per member.
 
 *Trees.* In a cell that still has several components, an R-tree over the points
-(sort-tile-recursive order, boxes of minima and maxima) joins the cell with
-itself: a pair of boxes is left when the summed minima of their upper corners
-can't reach the overlap needed, or all its nodes are in one component. Large
-cells are cut into tiles, and pairs of tiles are tasks of their own.
-
-Pairs that survive the bound are verified on the sets themselves, exactly, with
-the rational threshold. Components of the links give the class of each node.
+joins the cell with itself: nodes are parted at the median of the coordinate
+that varies most, boxes of 16 stand under boxes of 16 up to one root, and pairs
+of boxes are followed down as long as the summed minima of their upper corners
+can reach the overlap needed and they hold two components. A first search finds
+the groups of nodes that the bound leaves together; each different group comes
+back once, with its sets, and the second verifies its pairs exactly, with the
+rational threshold, and skips pairs that its own links have put together. So a
+cell returns a forest, never more links than members. Large cells are cut into
+tiles, whose pairs are tasks.
+
+Components of all links give the class of each node.
 
 Defined results: null and empty texts, and those without a word, have no set
 and link with nothing; texts with fewer words than an n-gram are one token of
-all their words; repeated rows are equal texts; among equal ids and ties the
-smallest doc_id names the class, null doc_ids never do; an empty table gives no
-rows; further columns are ignored. Two different sets would be taken for one if
-their 64-bit hashes met, which is to be expected once in 10^9 documents with
-probability 0.03.
+all their words; repeated rows are equal texts; unlike texts of one id are sets
+of their own; among equal ids and ties the smallest doc_id names the class; a
+row without an id links like any other, and names no class that has an id; an
+empty table gives no rows; further columns are ignored. Two different sets would
+be taken for one if their 64-bit hashes met, which is to be expected once in
+10^9 documents with probability 0.03.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinweave.llm.components import components
-from pinweave.llm.tables import lean, table
+from pinweave.llm.tables import give_back, lean, table
 from pinweave.storage import settled
 
 #: Groups of a point in the trees, and the most tokens per group, on average, of the finer points that pairs are checked on.
-GROUPS, PER_GROUP = 64, 8
-#: Ratio of a size band's end to its begin.
-BAND = 1.25
-#: Members of a leaf of the tree, and of a tile of a cell.
-LEAF, TILE = 16, 2048
-#: Sets that a task remembers, so as not to place their copies again.
-SEEN = 1 << 16
-#: Ids of documents whose sets are needed go to all executors up to this many (16 MB); beyond, Spark shuffles.
+GROUPS, PER_GROUP = 64, 4
+#: Ratio of a size band's end to its begin, and blocks beyond those that may differ, as a share of these.
+BAND, SPARE = 1.25, 0.25
+#: Members of a box of the tree; members of a tile of a cell, and tokens of all its sets.
+FAN, TILE, TILE_TOKENS = 16, 2048, 1 << 21
+#: Texts that a task remembers, so as not to describe their copies again, and keys of which it puts equal ones together at once.
+SEEN, CHUNK = 1 << 16, 1 << 18
+#: Rows of documents whose sets are needed go to all executors up to this many (24 MB); beyond, Spark shuffles.
 BROADCAST_ROWS = 1 << 20
 
 _U = np.uint64
+_SPARSE = 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,14 +97,18 @@ def node_of(tokens: np.ndarray) -> int:
     return int(xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1)
 
 
+def fine_groups(size: int) -> int:
+    """Groups that hold PER_GROUP tokens or less on average, a power of two of at least GROUPS."""
+    return max(GROUPS, 1 << max(0, (size - 1) // PER_GROUP).bit_length())
+
+
 def point_of(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     """How many tokens each group has; groups are ranges of the upper bits, so halving their number adds up neighbours."""
     return np.bincount((tokens >> _U(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def fine_groups(size: int) -> int:
-    """Groups that hold PER_GROUP tokens or less on average, a power of two of at least GROUPS."""
-    return max(GROUPS, 1 << max(0, (size - 1) // PER_GROUP).bit_length())
+def folded(point: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return point.reshape(groups, -1).sum(1, dtype=np.int32)
 
 
 def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
@@ -103,8 +116,8 @@ def overlap_bound(p: np.ndarray, q: np.ndarray) -> int:
     if len(p) > len(q):
         p, q = q, p
     if len(q) > len(p):
-        q = q.reshape(len(p), -1).sum(1)
-    return int(np.minimum(p, q).sum())
+        q = folded(q, len(p))
+    return int(np.minimum(p, q).sum(dtype=np.int64))
 
 
 class Threshold:
@@ -133,275 +146,428 @@ class Threshold:
             out.append((k, end))
         return out
 
+    def linked(self, p: np.ndarray, q: np.ndarray) -> bool:
+        """Whether two sets of tokens link."""
+        both = np.sort(np.concatenate((p, q)))
+        return int((both[1:] == both[:-1]).sum()) >= self.needed(len(p), len(q))
+
 
-def cells(tokens: np.ndarray, t: Threshold) -> np.ndarray:
-    """Keys of the cells of a set, over the bands in which it may meet its like."""
-    out = []
-    for band, last in t.bands(len(tokens)):
+def cells(tokens: np.ndarray, t: Threshold) -> tuple[np.ndarray, int, list[int]]:
+    """Keys of the cells of a set, the first band in which it may meet its like, and for each band how many keys it may spare.
+
+    The lower byte of a key is its band, the upper bit of that byte marks cells of sparse sets.
+    """
+    keys, spare = [], []
+    bands = t.bands(len(tokens))
+    for band, last in bands:
         r = t.unshared(2 * last)
+        spare.append(0)
         if r == 0:
             continue  # only equal sets link there, and they are one node
-        blocks = r + 2 + ceil(0.06 * r)
+        blocks = r + 2 + ceil(SPARE * r)
         # tokens are uniform in their lower bits: block by range of these, content by the sum of a second hash
         block = ((tokens & _U(0xFFFFFFFF)) * _U(blocks) >> _U(32)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         held = np.flatnonzero(np.diff(block[order], prepend=-1))
         content = np.add.reduceat(_mix(tokens[order] ^ _U(band + 1)), held)
-        out.append(_mix(content + _mix((block[order][held] + (band << 32)).astype(_U))))
+        keys.append(_mix(content + _mix((block[order][held] + (band << 32)).astype(_U))) & ~_U(255) | _U(band))
+        spare[-1] = max(0, len(held) - r - 1)
         if len(held) <= r:
-            out.append(_mix(np.array([(1 << 62) + band], _U)))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+            prefix = tokens[: len(tokens) - -(-t.num * len(tokens) // t.den) + 1]
+            keys.append(_mix(prefix + _U(band)) & ~_U(255) | _U(band | _SPARSE))
+    return (np.concatenate(keys) if keys else np.zeros(0, _U)), bands[0][0], spare
 
 
 class Tree:
-    """An R-tree over count vectors, packed by sorting and tiling; one level of leaves under boxes under a root."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        # sort-tile-recursive on the size, then on the coordinates that vary most
-        order = np.argsort(sizes, kind="stable")
-        strip = max(LEAF, int(np.sqrt(len(order) * LEAF)))
-        axis = int(points.var(0).argmax()) if len(points) else 0
-        order = np.concatenate([x[np.argsort(points[x, axis], kind="stable")] for x in np.split(order, range(strip, len(order), strip))])
-        self.order, self.begins = order, np.arange(0, len(order), LEAF)
-        self.upper = np.maximum.reduceat(points[order], self.begins, axis=0)
-        self.least = np.minimum.reduceat(sizes[order], self.begins)
-        self.most = np.maximum.reduceat(sizes[order], self.begins)
-
-    def leaf(self, i: int) -> np.ndarray:
-        return self.order[self.begins[i] : self.begins[i] + LEAF]
-
-    def leaves_for(self, upper: np.ndarray, least: int, most: int, t: Threshold) -> np.ndarray:
-        """Leaves that may hold a set linked with one in a box of these bounds."""
-        near = np.flatnonzero((t.num * self.least <= t.den * most) & (t.num * least <= t.den * self.most))
-        bound = np.minimum(self.upper[near], upper).sum(1)
-        return near[bound >= t.needed(least, self.least[near])]
-
-
-def join(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, tile: np.ndarray, t: Threshold) -> Iterator[tuple[int, int]]:
-    """Pairs of different classes that the bound can't rule out; over two tiles, only pairs between them."""
-    two = tile.any()
-    points = points.astype(np.uint16) if points.max(initial=0) < 1 << 16 else points
+    """An R-tree over count vectors: members in packed order, and levels of boxes from the leaves up to one root."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray):
+        self.order = self._packed(np.concatenate((points, sizes[:, None]), 1))
+        own, size, c = points[self.order], sizes[self.order], classes[self.order]
+        self.levels: list[tuple[np.ndarray, ...]] = []
+        upper, least, most, low, high = own, size, size, c, c
+        while not self.levels or len(upper) > 1:
+            begins = np.arange(0, len(upper), FAN)
+            upper, least, most = np.maximum.reduceat(upper, begins), np.minimum.reduceat(least, begins), np.maximum.reduceat(most, begins)
+            low, high = np.minimum.reduceat(low, begins), np.maximum.reduceat(high, begins)
+            self.levels.append((upper, least, most, low, high))
+
+    @staticmethod
+    def _packed(coordinates: np.ndarray) -> np.ndarray:
+        """Members in an order of which each run of FAN is a leaf: parted at a median, again and again."""
+        done, left = [], [np.arange(len(coordinates))]
+        while left:
+            own = left.pop()
+            if len(own) <= FAN:
+                done.append(own)
+                continue
+            x = coordinates[own]
+            own = own[np.argsort(x[:, x.var(0).argmax()], kind="stable")]
+            half = -(-len(own) // (2 * FAN)) * FAN
+            left += [own[half:], own[:half]]
+        return np.concatenate(done)
+
+
+def join(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, tile: np.ndarray, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different classes that the bound can't rule out, as arrays; over two tiles, only pairs between them."""
+    two = bool(tile.any())
     left = np.flatnonzero(tile == 0)
     right = np.flatnonzero(tile == 1) if two else left
-    if len(left) * len(right) <= LEAF * LEAF * 16:  # no tree pays off
-        x, y = np.nonzero(classes[left][:, None] != classes[right])
-        x, y = left[x], right[y]
-        x, y = (x, y) if two else (x[x < y], y[x < y])
-        may = np.minimum(points[x], points[y]).sum(1) >= t.needed(sizes[x], sizes[y])
-        yield from zip(x[may].tolist(), y[may].tolist(), strict=True)
+    if not len(left) or not len(right):
         return
-    a = Tree(points[left], sizes[left])
-    b = Tree(points[right], sizes[right]) if two else a
-    for i in range(len(a.begins)):
-        own = left[a.leaf(i)]
-        near = b.leaves_for(a.upper[i], a.least[i], a.most[i], t)
-        near = near if two else near[near >= i]
-        if not len(near):
-            continue
-        other = right[np.concatenate([b.leaf(j) for j in near])]
-        apart = classes[own][:, None] != classes[other][None]
-        if not two and near[0] == i:
-            apart[:, : len(own)] &= np.triu(np.ones((len(own), len(own)), bool), 1)
-        least, most = np.minimum.outer(sizes[own], sizes[other]), np.maximum.outer(sizes[own], sizes[other])
-        apart &= t.num * most <= t.den * least
-        across = np.ascontiguousarray(points[other].T)  # groups by members: sums run along rows
-        for k, x in enumerate(own.tolist()):
-            if apart[k].any():
-                bound = np.minimum(across, points[x][:, None]).sum(0, dtype=np.int32)
-                for y in other[apart[k] & (bound >= t.needed(sizes[x], sizes[other]))].tolist():
-                    yield x, y
-
-
-def _sets(docs: DataFrame, n: int):
-    """Rows for ``mapInArrow``: each text with its set, in order."""
-
-    def each(batches: Iterator[pa.RecordBatch], column: str):
-        for batch in batches:
-            ids = batch.column(column)
-            for i, text in enumerate(batch.column("text")):
-                yield ids[i].as_py(), shingles(text.as_py(), n)
-
-    return each
-
-
-def _batches(rows: Iterator[tuple], kinds: list, names: list[str], most: int) -> Iterator[pa.RecordBatch]:
-    """Record batches of ``most`` rows."""
+    a = Tree(points[left], sizes[left], classes[left])
+    b = Tree(points[right], sizes[right], classes[right]) if two else a
+    la, lb = len(a.levels) - 1, len(b.levels) - 1
+    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def may(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (ua, sa, ma, ca, da), (ub, sb, mb, cb, db) = a.levels[la], b.levels[lb]
+        near = (t.num * sa[x] <= t.den * mb[y]) & (t.num * sb[y] <= t.den * ma[x]) & ((ca[x] != db[y]) | (cb[y] != da[x]))
+        near &= two or la != lb or x <= y
+        at = np.flatnonzero(near)
+        good = [at[:0]]
+        for i in range(0, len(at), 1 << 13):
+            p, q = x[at[i : i + (1 << 13)]], y[at[i : i + (1 << 13)]]
+            good.append(at[i : i + (1 << 13)][np.minimum(ua[p], ub[q]).sum(1, dtype=np.int64) >= t.needed(sa[p], sb[q])])
+        return np.concatenate(good)
+
+    step = np.arange(FAN)
+    good = may(x, y)
+    x, y = x[good], y[good]
+    while la or lb:
+        if la >= lb:
+            x, y, la = (x[:, None] * FAN + step).ravel(), np.repeat(y, FAN), la - 1
+            inside = x < len(a.levels[la][1])
+        else:
+            x, y, lb = np.repeat(x, FAN), (y[:, None] * FAN + step).ravel(), lb - 1
+            inside = y < len(b.levels[lb][1])
+        x, y = x[inside], y[inside]
+        good = may(x, y)
+        x, y = x[good], y[good]
+    for i in range(0, len(x), 64):
+        p, q = (x[i : i + 64, None, None] * FAN + step[:, None]), (y[i : i + 64, None, None] * FAN + step)
+        p, q = (z.ravel() for z in np.broadcast_arrays(p, q))
+        inside = (p < len(left)) & (q < len(right)) & (two or p < q)
+        p, q = left[a.order[p[inside]]], right[b.order[q[inside]]]
+        apart = (classes[p] != classes[q]) & (t.num * np.maximum(sizes[p], sizes[q]) <= t.den * np.minimum(sizes[p], sizes[q]))
+        p, q = p[apart], q[apart]
+        good = np.minimum(points[p], points[q]).sum(1, dtype=np.int64) >= t.needed(sizes[p], sizes[q])
+        if good.any():
+            yield p[good], q[good]
+
+
+def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Members that pairs put together, for each such group of the ``n``."""
+    label = np.arange(n)
+    for x, y in pairs:
+        while len(x):
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            if len(x):
+                p, q = sorted((label[x[0]], label[y[0]]))
+                label[label == q] = p
+    order = np.argsort(label, kind="stable")
+    return [own for own in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(own) > 1]
+
+
+def forest(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, tokens: list[np.ndarray], t: Threshold) -> Iterator[tuple[int, int]]:
+    """Links between members, verified on their sets, that put classes together which no link before has."""
+    names, own = np.unique(classes, return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for xs, ys in join(points, sizes, classes, np.zeros(len(own), int), t):
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            p, q = root(int(own[x])), root(int(own[y]))
+            if p != q and t.linked(tokens[x], tokens[y]):
+                parent[p] = q
+                yield x, y
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches of ``most`` rows, or fewer with ``most_bytes`` in their binary values."""
     held: list[tuple] = []
+    n_bytes = 0
     for row in rows:
         held.append(row)
-        if len(held) >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-            held = []
+        n_bytes += sum(len(x) for x in row if type(x) is bytes)
+        if len(held) >= most or n_bytes >= most_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), schema.types, strict=True)], schema.names)
+            held, n_bytes = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), schema.types, strict=True)], schema.names)
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without a set), point and fine point of every document."""
-    each = _sets(docs, n)
+def describe(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """doc_id, text_key, n_shingles and node (null without a set) of every row; a task's first of a node has its point, its cells and what it may spare."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("fine", pa.binary()), ("cells", pa.binary()), ("band", pa.int32()), ("spare", pa.list_(pa.int32()))])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, len(s), *((node_of(s), point_of(s).tobytes(), point_of(s, fine_groups(len(s))).tobytes()) if len(s) else (None, None, None))) for i, s in each(batches, "doc_id"))
-        return _batches(rows, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["doc_id", "n_shingles", "node", "point", "fine"], 2000)
-
-    return docs.mapInArrow(described, "doc_id long, n_shingles long, node long, point binary, fine binary")
-
+        yield from _batches(rows(batches), schema)
+        give_back()
 
-def in_cells(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """(key, node) of every set in every cell of it; within a task, equal rows come once."""
-    each = _sets(docs, n)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        seen: dict[int, tuple] = {}
+        for batch in batches:
+            texts = batch.column("text")
+            for i, (doc_id, text_key) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), strict=True)):
+                if text_key in seen:
+                    yield doc_id, text_key, *seen[text_key], None, None, None, None
+                    continue
+                s = shingles(texts[i].as_py(), n)
+                node = node_of(s) if len(s) else None
+                if len(seen) < SEEN:
+                    seen[text_key] = (len(s), node)
+                if node is None:
+                    yield doc_id, text_key, 0, None, None, None, None, None
+                else:
+                    keys, band, spare = cells(s, t)
+                    # hashes spread distinct tokens, so no group of a few comes near 255
+                    yield doc_id, text_key, len(s), node, point_of(s, fine_groups(len(s))).astype(np.uint8).tobytes(), keys.tobytes(), band, spare
+
+    return docs.mapInArrow(described, "doc_id long, text_key long, n_shingles long, node long, fine binary, cells binary, band int, spare array<int>")
+
+
+def nodes_of(described: DataFrame) -> DataFrame:
+    """One row per node: rep, its smallest id; at, the row to read it from; and what describes it."""
+    once = [F.first(x, ignorenulls=True).alias(x) for x in ("n_shingles", "fine", "cells", "band", "spare")]
+    return described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(_place()).alias("at"), *once)
+
+
+def _place() -> Column:
+    """What orders rows: by id, rows without one last, and by text among those of one id."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+
+
+def shared_cells(nodes: DataFrame) -> DataFrame:
+    """(key, node) of the cells that several nodes have.
+
+    A task first looks for equal keys among its own: of these one row goes to
+    where the key is dealt, and the others anywhere, so that no task gets the
+    rows of a cell that very many nodes have.
+    """
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
-        for _, s in each(batches, "doc_id"):
-            if not len(s) or (node := node_of(s)) in seen:
-                continue
-            if len(seen) < SEEN:
-                seen.add(node)
-            own = cells(s, t)
-            keys.append(own)
-            nodes.append(np.full(len(own), node, np.int64))
-            held += len(own)
-            if held >= 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
-                keys, nodes, held = [], [], 0
+        for batch in batches:
+            for node, own in zip(batch.column("node").to_pylist(), batch.column("cells"), strict=True):
+                keys.append(np.frombuffer(own.as_buffer(), np.int64))
+                nodes.append(np.full(len(keys[-1]), node, np.int64))
+                held += len(keys[-1])
+                if held >= CHUNK:
+                    yield rows(np.concatenate(keys), np.concatenate(nodes))
+                    keys, nodes, held = [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+            yield rows(np.concatenate(keys), np.concatenate(nodes))
+
+    def rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        same = key[1:] == key[:-1]
+        again = np.concatenate(([False], same))
+        route = np.where(again, _mix((key ^ node).astype(_U)).view(np.int64), key)
+        return pa.RecordBatch.from_arrays([pa.array(route), pa.array(node), pa.array(key, mask=~(again | np.concatenate((same, [False]))))], ["route", "node", "key"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting = None, None
+        for batch in batches:
+            route, node, column = batch.column("route").to_numpy(), batch.column("node").to_numpy(), batch.column("key")
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            key = column.fill_null(0).to_numpy()
+            dealt_on = known & (key != route)
+            yield pair(key[dealt_on], node[dealt_on])
+            key, node, known = route[~dealt_on], node[~dealt_on], known[~dealt_on]
+            if len(key):
+                same = key[1:] == key[:-1]
+                goes_on = last is not None and key[0] == last
+                if goes_on and waiting is not None:
+                    yield pair(key[:1], np.array([waiting]))
+                out = known | np.concatenate(([goes_on], same)) | np.concatenate((same, [False]))
+                yield pair(key[out], node[out])
+                last, waiting = key[-1], None if out[-1] else node[-1]
 
-    return docs.mapInArrow(placed, "key long, node long")
+    def pair(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
+    placed = nodes.select("node", "cells").mapInArrow(dealt, "route long, node long, key long")
+    return placed.repartition("route").sortWithinPartitions("route").mapInArrow(met, "key long, node long").where("key IS NOT NULL")
 
-def stars(placed: DataFrame) -> DataFrame:
-    """(key, a, b): the smallest node of each cell with each other node of it. Cells of one node are left.
 
-    Rows of a cell come sorted, so its smallest is its first: a task keeps one
-    row, however large the cell.
-    """
+def rarest(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``members`` without the most frequent cells of each node, as many as it may spare, and without cells of one node."""
+    often = members.groupBy("key").agg(F.count("*").alias("n"))
+    spare = F.when(F.col("key").bitwiseAND(_SPARSE) > 0, 0).otherwise(F.get("spare", F.col("key").bitwiseAND(_SPARSE - 1).cast("int") - F.col("band")))
+    known = members.join(often, "key").join(nodes.select("node", "band", "spare"), "node").select("key", "node", "n", F.col("key").bitwiseAND(255).alias("kind"), spare.alias("spare"))
+    rank = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.desc("n"), "key"))
+    return known.withColumn("rank", rank).where("rank > spare").select("key", "node")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_first, last_node = None, 0, 0
-        for batch in batches:
-            key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            if not len(key):
-                continue
-            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            first = np.repeat(node[begins], np.diff(np.append(begins, len(key))))
-            again = np.concatenate(([False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])))
-            if last_key is not None and key[0] == last_key:
-                first[: begins[1] if len(begins) > 1 else len(key)] = last_first
-                again[0] = node[0] == last_node
-            last_key, last_first, last_node = key[-1], first[-1], node[-1]
-            some = np.flatnonzero((first != node) & ~again)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(first[some]), pa.array(node[some])], ["key", "a", "b"])
 
-    return placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(linked, "key long, a long, b long")
+class Texts(NamedTuple):
+    """The rows of documents, with text_key, and how they become sets."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    n: int
+
+    def sets(self, needed: DataFrame, name: str) -> DataFrame:
+        """(node, tokens) of the nodes named, each once, from the one row of it that ``at`` names."""
+        places = settled(needed.join(self.nodes.select("node", "at"), "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_key").alias("_key")), f"{name}-places")
+        few = F.broadcast if places.count() <= BROADCAST_ROWS else lambda x: x
+        n = self.n
 
+        def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = ((node, shingles(text.as_py(), n).tobytes()) for batch in batches for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True))
+            return _batches(rows, pa.schema([("node", pa.int64()), ("tokens", pa.binary())]))
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link. ``nodes`` has node, rep, n_shingles, point and fine."""
+        own = self.docs.join(few(places), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        return settled(own.select("node", "text").mapInArrow(as_sets, "node long, tokens binary").dropDuplicates(["node"]), name, compression="none")
+
+
+def verified(pairs: DataFrame, texts: Texts, t: Threshold) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 needed = t.needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-                bounds = [overlap_bound(np.frombuffer(x.as_buffer(), np.int32), np.frombuffer(y.as_buffer(), np.int32)) for x, y in zip(batch.column("pa"), batch.column("pb"), strict=True)]
+                bounds = [overlap_bound(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column("pa"), batch.column("pb"), strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(np.array(bounds) >= needed))
 
-    own = nodes.select("node", "n_shingles", "fine")
-    with_points = pairs.join(own.toDF("a", "na", "pa"), "a").join(own.toDF("b", "nb", "pb"), "b").where(t.num * F.greatest("na", "nb") <= t.den * F.least("na", "nb"))
-    left = settled(with_points.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded, "a long, b long"), "survivors")
-    needed = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    needed = settled(needed.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node"), "needed")
-    few = F.broadcast if needed.count() <= BROADCAST_ROWS else lambda x: x
-    each = _sets(docs, n)
-
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(((i, s.tobytes()) for i, s in each(batches, "node")), [pa.int64(), pa.binary()], ["node", "tokens"], 256)
-
-    sets = settled(docs.join(few(needed), "doc_id").select("node", "text").mapInArrow(as_sets, "node long, tokens binary").dropDuplicates(["node"]), "sets", compression="none")
-
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = np.sort(np.concatenate((p, q)))
-                good.append(int((both[1:] == both[:-1]).sum()) >= t.needed(len(p), len(q)))
+            good = [t.linked(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    own = texts.nodes.select("node", "n_shingles", "fine")
+    with_points = pairs.join(own.toDF("a", "na", "pa"), "a").join(own.toDF("b", "nb", "pb"), "b").where(t.num * F.greatest("na", "nb") <= t.den * F.least("na", "nb"))
+    left = settled(with_points.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded, "a long, b long"), "survivors")
+    sets = texts.sets(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct(), "star-sets")
     joined = left.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return settled(joined.mapInArrow(linked, "a long, b long"), "linked")
 
 
-def tree_pairs(star_rows: DataFrame, nodes: DataFrame, classes: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs that the trees leave, from cells that hold several classes."""
-    named = star_rows
-    for x in ("a", "b"):
-        named = named.join(classes.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    open_keys = named.where("ca <> cb").groupBy("key").agg(F.countDistinct("b").alias("others"))
-    sizes = star_rows.groupBy("key").agg(F.count("*").alias("members")).join(open_keys.select("key"), "key")
-    rows = named.join(open_keys.select("key"), "key", "left_semi")
-    members = rows.select("key", F.col("b").alias("node"), F.col("cb").alias("c")).unionByName(rows.select("key", F.col("a").alias("node"), F.col("ca").alias("c")).distinct())
-    n_tiles = F.ceil((F.col("members") + 1) / F.lit(TILE)).cast("int")
-    tiled = members.join(sizes, "key").withColumn("tiles", n_tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = tiled.select("key", "node", "c", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
-    dealt = dealt.select("key", "node", "c", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile")
-    pointed = dealt.join(nodes.select("node", "n_shingles", "point"), "node").select("key", "i", "j", "tile", "node", "c", "n_shingles", "point")
+def tree_links(members: DataFrame, classes: DataFrame, texts: Texts, t: Threshold) -> DataFrame:
+    """Links (a, b) that the trees find in cells of several classes; a forest of each tile or pair of tiles."""
+    named = members.join(classes.select(F.col("v").alias("node"), "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+    sized = named.join(texts.nodes.select("node", "n_shingles"), "node")
+    tiles = F.ceil(F.greatest(F.col("members") / TILE, F.col("tokens") / TILE_TOKENS)).cast("int")
+    open_cells = sized.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("members"), F.sum("n_shingles").alias("tokens")).where("c1 < c2").select("key", tiles.alias("tiles"))
+    tiled = sized.join(open_cells, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
+    dealt = settled(dealt.select("key", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "c", "n_shingles"), "open")
+    place = ["key", "i", "j"]
+    found = pa.schema([(x, pa.int64()) for x in ("group", "node", "c", "n_shingles")])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs() -> Iterator[tuple[int, int]]:
-            for node, size, c, i, j, tile, points in _cells(batches):
-                second = (tile != i).astype(int)
-                if (c != c[0]).any() and (i == j or second.any() and not second.all()):
-                    for x, y in join(points, size, c, second, t):
-                        yield min(node[x], node[y]), max(node[x], node[y])
+        def groups() -> Iterator[tuple[int, ...]]:
+            for (_, i, _), (tile, node, c, size), fine in _runs(batches, place, ["tile", "node", "c", "n_shingles"], "fine"):
+                points = np.stack([folded(np.frombuffer(x, np.uint8)) for x in fine])
+                for own in joined(len(node), join(points, size, c, (tile != i).astype(int), t)):
+                    name = xxhash.xxh3_64_intdigest(np.sort(node[own]).tobytes()) >> 1
+                    for k in own.tolist():
+                        yield name, node[k], c[k], size[k]
+
+        return _batches(groups(), found)
 
-        return _batches(pairs(), [pa.int64(), pa.int64()], ["a", "b"], 1 << 15)
+    pointed = dealt.join(texts.nodes.select("node", "fine"), "node").select(*place, "tile", "node", "c", "n_shingles", "fine")
+    grouped = pointed.repartition(*place).sortWithinPartitions(*place, "node").mapInArrow(searched, "group long, node long, c long, n_shingles long")
+    left = settled(grouped.distinct(), "partners")  # the same group is found in many cells
+    sets = texts.sets(left.select("node").distinct(), "tree-sets")
 
-    return pointed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(searched, "a long, b long").distinct()
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[tuple[int, int]]:
+            for _, (node, c, size), held in _runs(batches, ["group"], ["node", "c", "n_shingles"], "tokens"):
+                tokens = [np.frombuffer(x, _U) for x in held]
+                for x, y in forest(np.stack([point_of(x) for x in tokens]), size, c, tokens, t):
+                    yield min(node[x], node[y]), max(node[x], node[y])
 
+        return _batches(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(node, size, class, i, j, tile, points) of runs with equal (key, i, j), as arrays; columns are decoded once a batch."""
-    kept: list[np.ndarray] | None = None
+    with_sets = left.join(sets, "node").select("group", "node", "c", "n_shingles", "tokens")
+    return settled(with_sets.repartition("group").sortWithinPartitions("group", "node").mapInArrow(linked, "a long, b long").distinct(), "tree-links")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], place: list[str], columns: list[str], payload: str) -> Iterator[tuple]:
+    """(place, columns, payload) of each run of rows of one place: a value for each name in the first, for each member in the others."""
+    kept: tuple[list[np.ndarray], list[bytes]] | None = None
+    k = len(place)
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = [batch.column(x).to_numpy() for x in ("key", "i", "j", "node", "n_shingles", "c", "tile")]
-        own.append(np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, GROUPS))
+        own = [batch.column(x).to_numpy().astype(np.int64) for x in (*place, *columns)]
+        held = batch.column(payload).to_pylist()
         if kept is not None:
-            own = [np.concatenate(x) for x in zip(kept, own, strict=True)]
-        key, i, j, node, size, c, tile, points = own
-        begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            own, held = [np.concatenate(x) for x in zip(kept[0], own, strict=True)], kept[1] + held
+        begins = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in own[:k]], axis=0))))
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            yield node[a:b], size[a:b], c[a:b], i[a], j[a], tile[a:b], points[a:b]
-        kept = [x[begins[-1] :] for x in own]  # the last run may go on: two tiles at most
+            yield [int(x[a]) for x in own[:k]], [x[a:b] for x in own[k:]], held[a:b]
+        last = int(begins[-1])
+        kept = [x[last:] for x in own], held[last:]  # the last run may go on: two tiles at most
     if kept is not None:
-        key, i, j, node, size, c, tile, points = kept
-        yield node, size, c, i[0], j[0], tile, points
+        yield [int(x[0]) for x in kept[0][:k]], kept[0][k:], kept[1]
+
+
+class Classes(NamedTuple):
+    rows: DataFrame  # doc_id, text_key, n_shingles, node of every document
+    nodes: DataFrame  # node, component_id, at: the smallest id and the first row of the node's class
+
+
+def classes(docs: DataFrame, n: int, num: int, den: int) -> Classes:
+    """The class of every node under links of similarity ``num``/``den`` between sets of ``n``-grams."""
+    t = Threshold(num, den)
+    docs = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    described = settled(describe(docs, n, t), "described")
+    nodes = settled(nodes_of(described), "nodes")
+    texts = Texts(docs, nodes, n)
+
+    members = settled(rarest(settled(shared_cells(nodes), "shared"), nodes), "members")
+    least = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    near = verified(members.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts, t)
+    links = near.unionByName(tree_links(members, components(near), texts, t))
+
+    found = components(links).withColumnRenamed("v", "node")
+    first = found.join(nodes.select("node", "rep", "at"), "node").groupBy("c").agg(F.min("rep").alias("component_id"), F.min("at").alias("first"))
+    named = nodes.select("node", "rep", "at").join(found, "node", "left").join(first, "c", "left")
+    # a class without any id has no name: its rows have none to give
+    named = named.select("node", F.when(F.col("c").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", "at").alias("at"))
+    return Classes(described.select("doc_id", "text_key", "n_shingles", "node"), settled(named, "classes"))
 
 
 def classes_of(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, for n-grams of ``n`` words and a similarity of ``num``/``den``."""
-    t = Threshold(num, den)
-    docs = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = settled(describe(docs, n), "described")
-    reps = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    nodes = settled(described.where("node IS NOT NULL").join(reps.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["node"]).select("node", "rep", "n_shingles", "point", "fine"), "nodes")
-
-    star_rows = settled(stars(in_cells(docs, n, t)), "stars")
-    near = verified(star_rows.select("a", "b").distinct(), nodes, docs, n, t)
-    rest = tree_pairs(star_rows, nodes, components(near), t).join(near.select("a", "b"), ["a", "b"], "left_anti")
-    links = near.unionByName(verified(settled(rest, "pairs"), nodes, docs, n, t))
-
-    found = components(links)
-    smallest = found.join(nodes.select(F.col("node").alias("v"), "rep"), "v").groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = nodes.select("node", "rep").join(found.withColumnRenamed("v", "node"), "node", "left").join(smallest, "c", "left")
-    named = settled(named.select(F.col("node").alias("_node"), F.coalesce("component_id", "rep").alias("_least")), "classes")
-    joined = described.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("_node"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    rows, nodes = classes(docs, n, num, den)
+    named = rows.join(nodes.select("node", "component_id"), "node", "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row of ``docs`` for each class, and every row without a set; all columns pass through.
+
+    It is the row of the smallest id; of unlike texts of that id the one whose
+    hash is smallest, and of rows equal in both the smallest in all columns.
+    """
+    rows, nodes = classes(docs, n, num, den)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_key"))
+
+    def at(other: DataFrame):
+        return keyed["_id"].eqNullSafe(other["doc_id"]) & (keyed["_key"] == other["text_key"])
+
+    of_sets = rows.where("node IS NOT NULL")
+    firsts = (F.col("doc_id").eqNullSafe(F.col("at.doc_id"))) & (F.col("text_key") == F.col("at.text_key"))
+    dropped = settled(of_sets.join(nodes.select("node", "at"), "node").where(~firsts).select("doc_id", "text_key").distinct(), "dropped")
+    again = settled(of_sets.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key"), "again")
+    again = again.join(dropped, again["doc_id"].eqNullSafe(dropped["doc_id"]) & (again["text_key"] == dropped["text_key"]), "left_anti")
+    gone = settled(dropped.unionByName(again), "gone")
+    few = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
+    kept = keyed.join(few(gone), at(gone), "left_anti").select("row.*")
+    if again.isEmpty():
+        return kept
+    once = keyed.join(few(again), at(again), "left_semi").groupBy("_id", "_key").agg(F.min("row").alias("row")).select("row.*")
+    return kept.unionByName(once)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

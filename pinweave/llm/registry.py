@@ -11,7 +11,7 @@ import corpus_pipeline
 from pinweave.llm import op1_quality_classifier, op2_secret_scans, op3_language_id, op4_jaccard_join, op5_source_mixing, op6_embedding_dedup, op7_quality_rules, op8_chat_formatting
 from pinweave.llm.op9_token_files import op9_token_files
 
-_QUERIES = [op1_quality_classifier.op1_quality_classifier, op2_secret_scans.op2_secret_scans, op3_language_id.op3_language_id, op4_jaccard_join.op4_jaccard_join, op4_jaccard_join, op5_source_mixing.op5_source_mixing, op6_embedding_dedup.op6_embedding_dedup, op7_quality_rules.op7_quality_rules, op8_chat_formatting.op8_chat_formatting, op9_token_files, op10_packing]
+_QUERIES = [op1_quality_classifier.op1_quality_classifier, op2_secret_scans.op2_secret_scans, op3_language_id.op3_language_id, op4_jaccard_join.op4_jaccard_join, op5_source_mixing.op5_source_mixing, op6_embedding_dedup.op6_embedding_dedup, op7_quality_rules.op7_quality_rules, op8_chat_formatting.op8_chat_formatting, op9_token_files, op10_packing]
 _SQL = {"op5_source_mixing": op5_source_mixing.SQL, "op7_quality_rules": op7_quality_rules.SQL, "op8_chat_formatting": op8_chat_formatting.SQL}
 
 

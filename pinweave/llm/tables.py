@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 #: Bytes of rows that Spark hands to Python at once: long texts would otherwise come by 64 MB, in the JVM and in Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def lean(df: DataFrame) -> DataFrame:
@@ -28,3 +30,11 @@ def lean(df: DataFrame) -> DataFrame:
     if int(re.sub(r"\D", "", conf.get(key))) == 64 << 20:
         conf.set(key, str(BATCH_BYTES))
     return df
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a task calls it at its end, as Python workers outlive tasks and idle beside others' work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

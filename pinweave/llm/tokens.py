@@ -21,12 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pinweave.llm.tables import give_back
+
 #: Longer pieces are not kept in the memo, as they hardly repeat.
 LONGEST_KEPT = 32
 #: Pieces in one of the memo's two generations.
 GENERATION = 150_000
 #: Bytes of text that are split at once; a longer text makes a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 
 #: One pre-token under every vocabulary here: normal form and lower case change each letter alone.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -82,8 +84,9 @@ class Encoder:
             at = to
 
     def rest(self) -> None:
-        """Give the memo's memory back: a task calls it at its end, as workers outlive tasks and idle beside others' work."""
+        """Give the memo's memory back at the end of a task."""
         self.young, self.old = {}, {}
+        give_back()
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # \r marks the first piece of a text: no space stands before it

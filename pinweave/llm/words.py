@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a block; a longer text makes a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 3 << 20
 
 
 class Block(NamedTuple):
