@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from pinweave.llm import op2_secret_scans, op3_language_id, op4_jaccard_join, op5_source_mixing, op10_packing
 from pinweave.storage import settled
 
-#: Ids of documents to drop go to all executors up to this many (8 MB); beyond, Spark shuffles.
-BROADCAST_ROWS = 1 << 20
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: null texts and texts without letters go, as do texts of which no language has half the letters."""
@@ -27,16 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one of smallest id; of repeated rows of an id, one. Rows with a null id stay."""
-    classes = op4_jaccard_join.classes_of(docs, n=5, num=4, den=5)
-    dropped = settled(classes.where("doc_id <> component_id").select("doc_id"), "dropped")
-    few = F.broadcast if dropped.count() <= BROADCAST_ROWS else lambda x: x
-    kept = docs.join(few(dropped), "doc_id", "left_anti").select(*docs.columns)
-    again = settled(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """One row of each group of linked texts, the one of smallest id, and every row whose text links with none.
+
+    Rows count, not ids: unlike texts of one id are judged apart. Null and empty
+    texts link with nothing and stay; an empty table stays empty.
+    """
+    return op4_jaccard_join.first_of_each(docs, n=5, num=4, den=5)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
