@@ -58,8 +58,8 @@ from pinweave.llm.components import components
 from pinweave.llm.tables import give_back, lean, table
 from pinweave.storage import settled
 
-#: Groups of a point in the trees, and the most tokens per group, on average, of the finer points that pairs are checked on.
-GROUPS, PER_GROUP = 64, 4
+#: The fewest groups of a point, and the most tokens per group on average. In a cell, points are folded to the fewest groups of a member.
+GROUPS, PER_GROUP = 64, 2
 #: Ratio of a size band's end to its begin, and blocks beyond those that may differ, as a share of these.
 BAND, SPARE = 1.25, 0.25
 #: Members of a box of the tree; members of a tile of a cell, and tokens of all its sets.
@@ -102,12 +102,13 @@ def fine_groups(size: int) -> int:
     return max(GROUPS, 1 << max(0, (size - 1) // PER_GROUP).bit_length())
 
 
-def point_of(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def point_of(tokens: np.ndarray, groups: int) -> np.ndarray:
     """How many tokens each group has; groups are ranges of the upper bits, so halving their number adds up neighbours."""
     return np.bincount((tokens >> _U(65 - groups.bit_length())).astype(np.int64), minlength=groups).astype(np.int32)
 
 
-def folded(point: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The same counts in fewer groups."""
     return point.reshape(groups, -1).sum(1, dtype=np.int32)
 
 
@@ -465,7 +466,9 @@ def tree_links(members: DataFrame, classes: DataFrame, texts: Texts, t: Threshol
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[tuple[int, ...]]:
             for (_, i, _), (tile, node, c, size), fine in _runs(batches, place, ["tile", "node", "c", "n_shingles"], "fine"):
-                points = np.stack([folded(np.frombuffer(x, np.uint8)) for x in fine])
+                points = [np.frombuffer(x, np.uint8) for x in fine]
+                groups = min(map(len, points))
+                points = np.stack([folded(x, groups) for x in points])
                 for own in joined(len(node), join(points, size, c, (tile != i).astype(int), t)):
                     name = xxhash.xxh3_64_intdigest(np.sort(node[own]).tobytes()) >> 1
                     for k in own.tolist():
@@ -482,7 +485,8 @@ def tree_links(members: DataFrame, classes: DataFrame, texts: Texts, t: Threshol
         def links() -> Iterator[tuple[int, int]]:
             for _, (node, c, size), held in _runs(batches, ["group"], ["node", "c", "n_shingles"], "tokens"):
                 tokens = [np.frombuffer(x, _U) for x in held]
-                for x, y in forest(np.stack([point_of(x) for x in tokens]), size, c, tokens, t):
+                points = np.stack([point_of(x, fine_groups(int(size.min()))) for x in tokens])
+                for x, y in forest(points, size, c, tokens, t):
                     yield min(node[x], node[y]), max(node[x], node[y])
 
         return _batches(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
