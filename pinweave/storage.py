@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 
+#: Where each settled table lies, and every path that was written and not deleted.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_written: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Where the session names none, a local master gets a fresh one."""
@@ -39,5 +44,26 @@ def settled(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _written.add(path)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).delete(files, True)
+    _written.discard(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a settled table that nothing will read again."""
+    if path := _paths.pop(table, None):
+        _delete(table.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this process has settled: for the end of a job, when its results are written."""
+    for path in list(_written):
+        _delete(spark, path)
