@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinweave.storage import settled
+from pinweave.storage import discard, settled
 
 
 def _star(links: DataFrame, larger: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         # first away from larger vertices, then towards the smallest
         out = _star(now, larger=True).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        now = settled(_star(out, larger=False), "links")
+        before, now = now, settled(_star(out, larger=False), "links")
+        discard(before)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == digest:
             return now.select(F.col("a").alias("v"), F.col("b").alias("c")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("c")).distinct())

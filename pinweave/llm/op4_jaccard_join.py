@@ -56,12 +56,12 @@ from pyspark.sql import functions as F
 
 from pinweave.llm.components import components
 from pinweave.llm.tables import give_back, lean, table
-from pinweave.storage import settled
+from pinweave.storage import discard, settled
 
 #: The fewest groups of a point, and the most tokens per group on average. In a cell, points are folded to the fewest groups of a member.
 GROUPS, PER_GROUP = 64, 2
 #: Ratio of a size band's end to its begin, and blocks beyond those that may differ, as a share of these.
-BAND, SPARE = 1.25, 0.25
+BAND, SPARE = 1.7, 0.18
 #: Members of a box of the tree; members of a tile of a cell, and tokens of all its sets.
 FAN, TILE, TILE_TOKENS = 16, 2048, 1 << 21
 #: Texts that a task remembers, so as not to describe their copies again, and keys of which it puts equal ones together at once.
@@ -335,7 +335,7 @@ def describe(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
 
 def nodes_of(described: DataFrame) -> DataFrame:
     """One row per node: rep, its smallest id; at, the row to read it from; and what describes it."""
-    once = [F.first(x, ignorenulls=True).alias(x) for x in ("n_shingles", "fine", "cells", "band", "spare")]
+    once = [F.first(x, ignorenulls=True).alias(x) for x in ("n_shingles", "fine", "band", "spare")]
     return described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(_place()).alias("at"), *once)
 
 
@@ -344,10 +344,10 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
 
 
-def shared_cells(nodes: DataFrame) -> DataFrame:
+def shared_cells(described: DataFrame) -> DataFrame:
     """(key, node) of the cells that several nodes have.
 
-    A task first looks for equal keys among its own: of these one row goes to
+    Several tasks may have described a node. A task first looks for equal keys among its own: of these one row goes to
     where the key is dealt, and the others anywhere, so that no task gets the
     rows of a cell that very many nodes have.
     """
@@ -374,7 +374,7 @@ def shared_cells(nodes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(route), pa.array(node), pa.array(key, mask=~(again | np.concatenate((same, [False]))))], ["route", "node", "key"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, waiting = None, None
+        last, last_node, waiting = None, None, False
         for batch in batches:
             route, node, column = batch.column("route").to_numpy(), batch.column("node").to_numpy(), batch.column("key")
             known = column.is_valid().to_numpy(zero_copy_only=False)
@@ -382,20 +382,24 @@ def shared_cells(nodes: DataFrame) -> DataFrame:
             dealt_on = known & (key != route)
             yield pair(key[dealt_on], node[dealt_on])
             key, node, known = route[~dealt_on], node[~dealt_on], known[~dealt_on]
+            if len(key):
+                again = np.concatenate(([key[0] == last and node[0] == last_node], (key[1:] == key[:-1]) & (node[1:] == node[:-1])))
+                some = ~again | known
+                key, node, known = key[some], node[some], known[some]
             if len(key):
                 same = key[1:] == key[:-1]
                 goes_on = last is not None and key[0] == last
-                if goes_on and waiting is not None:
-                    yield pair(key[:1], np.array([waiting]))
+                if goes_on and waiting:
+                    yield pair(key[:1], np.array([last_node]))
                 out = known | np.concatenate(([goes_on], same)) | np.concatenate((same, [False]))
                 yield pair(key[out], node[out])
-                last, waiting = key[-1], None if out[-1] else node[-1]
+                last, last_node, waiting = key[-1], node[-1], not out[-1]
 
     def pair(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
-    placed = nodes.select("node", "cells").mapInArrow(dealt, "route long, node long, key long")
-    return placed.repartition("route").sortWithinPartitions("route").mapInArrow(met, "key long, node long").where("key IS NOT NULL")
+    placed = described.where("cells IS NOT NULL").select("node", "cells").mapInArrow(dealt, "route long, node long, key long")
+    return placed.repartition("route").sortWithinPartitions("route", "node").mapInArrow(met, "key long, node long").distinct()
 
 
 def rarest(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -491,6 +495,7 @@ def tree_links(members: DataFrame, classes: DataFrame, texts: Texts, t: Threshol
 
         return _batches(links(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
+    discard(dealt)
     with_sets = left.join(sets, "node").select("group", "node", "c", "n_shingles", "tokens")
     return settled(with_sets.repartition("group").sortWithinPartitions("group", "node").mapInArrow(linked, "a long, b long").distinct(), "tree-links")
 
@@ -528,7 +533,11 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> Classes:
     nodes = settled(nodes_of(described), "nodes")
     texts = Texts(docs, nodes, n)
 
-    members = settled(rarest(settled(shared_cells(nodes), "shared"), nodes), "members")
+    shared = settled(shared_cells(described), "shared")
+    rows = settled(described.select("doc_id", "text_key", "n_shingles", "node"), "rows")
+    discard(described)
+    members = settled(rarest(shared, nodes), "members")
+    discard(shared)
     least = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     near = verified(members.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), texts, t)
     links = near.unionByName(tree_links(members, components(near), texts, t))
@@ -538,7 +547,7 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> Classes:
     named = nodes.select("node", "rep", "at").join(found, "node", "left").join(first, "c", "left")
     # a class without any id has no name: its rows have none to give
     named = named.select("node", F.when(F.col("c").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", "at").alias("at"))
-    return Classes(described.select("doc_id", "text_key", "n_shingles", "node"), settled(named, "classes"))
+    return Classes(rows, settled(named, "classes"))
 
 
 def classes_of(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
