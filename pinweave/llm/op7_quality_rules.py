@@ -1,19 +1,21 @@
 """Quality rules: marks of junk within a text, and lines that too many documents of a host share.
 
-Within a text everything is array expressions on that row alone. Across
-documents, normalised lines are hashed; copies of a text count once, so a page
-is no boilerplate for having been crawled often. (host, line, text) is reduced
-before and after the exchange, then counted per (host, line). A line is above
-the limit when its texts are more than both ``min_texts`` and ``max_share`` of
-the host's texts; a host can have no more such lines than (lines per text) /
-``max_share``. They are joined back to the lines, removed words are summed per
-document, and a document that keeps too small a share of its words is rejected.
+Within a text everything is array expressions on that row alone, and each row is
+read once: what is written are its marks and the hashes and words of its
+normalised lines. Across documents, distinct documents are counted per (host,
+line), reduced before and after the exchange. A line is above the limit when its
+documents are more than ``min_docs`` and more than ``max_share`` of the host's
+documents, or than ``most_docs`` however many the host has. Such lines are
+joined back to the lines, removed words are summed per row, and a document that
+keeps too small a share of its words is rejected. So copies of a page beyond the
+limits are rejected as well: each of their lines is above it.
 
 Defined results: a null text counts as empty (base_failed, as under 10 words);
-a null source is a host of its own; repeated rows and ties are judged alike,
-each row on its own; rows with a null doc_id get the base rules only; an empty
-table gives no rows; further columns are ignored. A word longer than any bound
-is one word.
+a null source is a host of its own; a document without an id is one with all
+others of its text; unlike texts of one id count as one document in a line's
+number and are judged apart; repeated rows and ties are judged alike, each row
+on its own; an empty table gives no rows; further columns are ignored. A word
+longer than any bound is one word.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pinweave.llm.expressions import let
 from pinweave.llm.tables import table
+from pinweave.storage import settled
 
 #: What separates words, and the characters that count as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -58,52 +61,59 @@ def repeated_words(of_words: Column, window: int = 5) -> Column:
     return let(F.transform(of_words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """doc_id and the marks of each text."""
+def looked_at(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: a number, doc_id, host, document, the marks of its text, and (key, n) of each normalised line.
+
+    A line's key hashes the host with it, so one number stands for both.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: _without(x, BLANKS) != "")
-    found = docs.select(
-        F.col("doc_id").cast("long"),
-        let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
-        F.length(_without(text, BLANKS)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    host = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), text.alias("text"))
+    known = F.filter(F.split("text", "\n"), lambda x: _without(x, BLANKS) != "")
+
+    def of_lines(lines: Column) -> Column:
+        twice = (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+        return F.struct(twice.alias("n_dup_lines"), F.transform(lines, lambda x: let(words(x), keyed)).alias("lines"))
+
+    def keyed(w: Column) -> Column:
+        return F.struct(F.xxhash64("host", F.lower(F.array_join(w, " "))).alias("key"), F.size(w).alias("n"))
+
+    found = own.select(
+        "doc_id",
+        "host",
+        F.coalesce("doc_id", F.xxhash64("text")).alias("document"),
+        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
+        F.length(_without(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
+        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        let(known, of_lines).alias("l"),
     )
-    return found.select("doc_id", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "host", "document", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.lines")
 
 
-def removed_words(docs: DataFrame, min_texts: int, max_share: float) -> DataFrame:
-    """doc_id, removed: words in lines above the limit, for documents that have any."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    normal = F.transform(F.split(text, "\n"), lambda x: F.lower(F.array_join(words(x), " ")))
-    host = docs.select(F.col("doc_id").cast("long"), "source", F.xxhash64(text).alias("text_key"), F.array_remove(normal, "").alias("lines"))
-    lines = host.select("doc_id", "source", "text_key", F.explode("lines").alias("line")).select(
-        "doc_id", "source", "text_key", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("n")
-    )
-    texts = docs.select("source", F.xxhash64(text).alias("text_key")).distinct().groupBy("source").agg(F.count("*").alias("texts"))
-    counts = lines.select("source", "line", "text_key").distinct().groupBy("source", "line").agg(F.count("*").alias("in_texts"))
-    limit = F.greatest(F.lit(min_texts), F.col("texts") * F.lit(max_share))
-    above = counts.where(F.col("in_texts") > min_texts).join(texts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where(F.col("in_texts") > limit)
-    above = above.select(F.col("source").alias("_s"), F.col("line").alias("_l"))
-    hits = lines.join(above, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_l")))
-    # a repeated row would count its lines twice: sums are per row of the table
-    rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("rows")).where("rows > 1")
-    sums = hits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n").alias("removed"))
-    return sums.join(rows, "doc_id", "left").select("doc_id", (F.col("removed") / F.coalesce("rows", F.lit(1))).alias("removed"))
-
-
-def judge(docs: DataFrame, min_texts: int = 10, max_share: float = 0.02, keep_share: float = 0.5, min_words: int = 10) -> DataFrame:
+def removed_words(rows: DataFrame, min_docs: int, max_share: float, most_docs: int) -> DataFrame:
+    """(row, removed): words in lines above the limit, for rows that have any. ``rows`` are settled, so their numbers stay."""
+    documents = rows.select("host", "document").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    lines = rows.select("host", "document", F.explode(F.array_distinct(F.col("lines.key"))).alias("key"))
+    counts = lines.distinct().groupBy("host", "key").agg(F.count("*").alias("in_documents")).where(F.col("in_documents") > min_docs)
+    limit = F.greatest(F.lit(min_docs), F.least(F.col("documents") * F.lit(max_share), F.lit(most_docs)))
+    above = settled(counts.join(documents, "host").where(F.col("in_documents") > limit).select("key"), "above")
+    hits = rows.select("row", F.explode("lines").alias("line")).select("row", "line.key", "line.n").join(above, "key")
+    return hits.groupBy("row").agg(F.sum("n").alias("removed_words"))
+
+
+def judge(docs: DataFrame, min_docs: int = 10, max_share: float = 0.02, most_docs: int = 1000, keep_share: float = 0.5, min_words: int = 10) -> DataFrame:
     """Marks of every document, base_failed, removed_words and kept.
 
     A document is depleted when less than ``keep_share`` of its words, or fewer
     than ``min_words``, are left without the lines above the limit.
     """
+    rows = settled(looked_at(docs), "looked-at")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    removed = removed_words(docs, min_texts, max_share)
-    joined = marks(docs).join(removed, "doc_id", "left").withColumn("removed_words", F.round(F.coalesce("removed", F.lit(0))).cast("long")).drop("removed")
+    marked = rows.drop("lines", "host", "document").join(removed_words(rows, min_docs, max_share, most_docs), "row", "left")
+    marked = marked.drop("row").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < F.col("n_words") * F.lit(keep_share)) | (left < min_words))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    return marked.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +136,12 @@ WITH w AS (
 ), covered AS (
   SELECT doc_id, sum(least(5, coalesce(next - i, 5))) AS n_repeat_words FROM twice GROUP BY doc_id
 ), normal AS (
-  SELECT doc_id, source, text, unnest([lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) FOR x IN lines]) AS line FROM w
-), texts AS (
-  SELECT source, count(DISTINCT text) AS texts FROM w GROUP BY source
+  SELECT doc_id, source, unnest([lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) FOR x IN lines]) AS line FROM w
+), hosts AS (
+  SELECT source, count(DISTINCT doc_id) AS documents FROM w GROUP BY source
 ), above AS (
-  SELECT n.source, n.line FROM normal n JOIN texts t ON n.source IS NOT DISTINCT FROM t.source
-  GROUP BY n.source, n.line, t.texts HAVING count(DISTINCT n.text) > greatest(10, t.texts * 0.02)
+  SELECT n.source, n.line FROM normal n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source
+  GROUP BY n.source, n.line, h.documents HAVING count(DISTINCT n.doc_id) > greatest(10, least(h.documents * 0.02, 1000))
 ), removed AS (
   SELECT doc_id, sum(len(string_split(n.line, ' '))) AS removed
   FROM normal n JOIN above a ON n.source IS NOT DISTINCT FROM a.source AND n.line = a.line GROUP BY doc_id

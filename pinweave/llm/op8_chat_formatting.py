@@ -21,12 +21,16 @@ Defined results: null role is ``unknown``, null text is empty; null
 conv_id rows are one conversation; null turns come first; repeated rows and
 equal turns are ordered by role and text and all stay; identifiers are looked
 for in their conversation only, and of calls that share one, the first counts;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns are ignored. A text that is not
+JSON (NaN and Infinity are not), or nested too deeply to read, is plain text;
+such arguments are invalid and stay text; lone surrogates stay escapes.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,9 +58,30 @@ _TYPES = {
 }
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys and no blanks; characters stay as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no blanks; characters stay as they are, but for lone surrogates, which UTF-8 lacks and which stay escaped."""
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _escaped(text: str) -> str:
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def _number(digits: str) -> float:
+    value = float(digits)
+    return value if math.isfinite(value) else _refuse(digits)
+
+
+def loaded(text: str) -> object:
+    """The JSON value of a text. NaN and infinities, also by overflow, are not JSON."""
+    return json.loads(text, parse_constant=_refuse, parse_float=_number)
 
 
 def valid(value: object, schema: dict) -> bool:
@@ -80,11 +105,18 @@ def valid(value: object, schema: dict) -> bool:
 
 def parsed(role: str, text: str, schemas: dict[str, dict]) -> tuple[str, list[str], bool, str]:
     """(kind, identifiers, all arguments valid, canonical message)."""
+    try:
+        return _parsed(role, text, schemas)
+    except RecursionError:
+        return "text", [], True, canonical({"content": text, "role": role})
+
+
+def _parsed(role: str, text: str, schemas: dict[str, dict]) -> tuple[str, list[str], bool, str]:
     body = None
     if text.lstrip()[:1] == "{" and "tool_call" in text:
         try:
-            body = json.loads(text)
-        except (ValueError, RecursionError):
+            body = loaded(text)
+        except ValueError:
             body = None
     if isinstance(body, dict) and isinstance(body.get("tool_calls"), list) and body["tool_calls"]:
         calls, ids, fine = [], [], True
@@ -93,17 +125,17 @@ def parsed(role: str, text: str, schemas: dict[str, dict]) -> tuple[str, list[st
             arguments = call.get("arguments")
             if isinstance(arguments, str):
                 try:
-                    arguments = json.loads(arguments)
-                except (ValueError, RecursionError):
+                    arguments = loaded(arguments)
+                except ValueError:
                     fine = False
             name, id_ = str(call.get("name", "")), call.get("id")
             fine &= id_ is not None and (name not in schemas or valid(arguments, schemas[name]))
             calls.append({"arguments": arguments, "id": id_, "name": name})
             if id_ is not None:
-                ids.append(str(id_))
+                ids.append(_escaped(str(id_)))
         return "call", ids, fine, canonical({"content": body.get("content"), "role": role, "tool_calls": calls})
     if isinstance(body, dict) and body.get("tool_call_id") is not None:
-        return "result", [str(body["tool_call_id"])], True, canonical({"content": body.get("content"), "role": role, "tool_call_id": body["tool_call_id"]})
+        return "result", [_escaped(str(body["tool_call_id"]))], True, canonical({"content": body.get("content"), "role": role, "tool_call_id": body["tool_call_id"]})
     return "text", [], True, canonical({"content": text, "role": role})
 
 
