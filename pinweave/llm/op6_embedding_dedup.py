@@ -2,11 +2,18 @@
 
 Equal vectors of a label are one class from the first exchange on. A rotation
 of the leading principal axes, fitted on a bounded sample so that signs lose
-least, gives balanced binary codes. A code is cut into ``TABLES`` substrings;
-vectors of a label that agree in one share a cell, so every pair within
-``TABLES`` - 1 flipped bits is met for certain, and most pairs farther apart are
-too. In a cell, blocks of original vectors are multiplied in double precision
-and only pairs at the threshold count.
+least, gives balanced binary codes. Each table indexes a substring of some bits
+of the code; vectors of a label that agree in one share a cell. In a cell,
+blocks of original vectors are multiplied in double precision and only pairs at
+the threshold count.
+
+How long the substrings are and how many tables there are is measured on the
+sample: they get longer with the number of vectors, so that cells stay small,
+and as many tables are taken as find ``RECALL`` of pairs at the threshold, both
+real ones of the sample and made ones, whose difference points like noise or like
+the difference of two other vectors. Where no number up to ``TABLES`` does, the
+substrings get shorter, down to single bits, at which nearly all pairs of a label
+meet. So vectors in one narrow cone cost more and are not missed.
 
 A pair that shares several cells counts in the first table where it agrees, so
 counts need no list of pairs: a cell gives each class the number of vectors it
@@ -31,13 +38,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from pinweave.llm.components import components
 from pinweave.llm.tables import table
 from pinweave.storage import settled
 
 SAMPLE = 4000
-BITS, TABLES = 64, 8
+#: Bits of a code, the most tables and the most bits of a substring.
+BITS, TABLES, LONGEST = 64, 32, 24
+#: Share of pairs at the threshold that the tables must find on the sample, pairs that are looked at, and classes that a cell should hold.
+RECALL, PAIRS, CELL = 0.985, 2000, 64
 TILE = 1024
 
 
@@ -46,26 +57,75 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(sample: np.ndarray, bits: int = BITS, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+def fit(sample: np.ndarray, n_bits: int = BITS, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) whose signs are codes: principal axes, rotated by iterative quantisation."""
     x = _unit(sample)
     mean = x.mean(0)
     axes = np.linalg.svd(x - mean, full_matrices=False)[2].T
-    bits = min(bits, axes.shape[1])
-    v = (x - mean) @ axes[:, :bits]
-    r = np.linalg.qr(np.random.default_rng(11).standard_normal((bits, bits)))[0]
+    n_bits = min(n_bits, axes.shape[1])
+    v = (x - mean) @ axes[:, :n_bits]
+    r = np.linalg.qr(np.random.default_rng(11).standard_normal((n_bits, n_bits)))[0]
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (u @ w).T
-    return mean, axes[:, :bits] @ r
+    return mean, axes[:, :n_bits] @ r
 
 
-def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """Substrings of each vector's code, one column a table. Vectors of a length the sample lacks use their own signs."""
+def bits(x: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """Each vector's code. Vectors of a length the sample lacks use their own signs."""
     x = _unit(x)
-    signs = (x if model is None else (x - model[0]) @ model[1]) >= 0
-    parts = np.array_split(signs[:, :BITS], min(TABLES, signs.shape[1]), axis=1)
-    return np.stack([p @ (1 << np.arange(p.shape[1])) for p in parts], 1).astype(np.int64)
+    return ((x if model is None else (x - model[0]) @ model[1]) >= 0)[:, :BITS]
+
+
+def hard_pairs(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of vectors at a cosine of the threshold or little more: made with noise, made with differences of the sample, and real ones."""
+    x = _unit(sample)
+    rng = np.random.default_rng(23)
+    n, d = x.shape
+    own = x[rng.integers(0, n, PAIRS)]
+    out = []
+    for away in (rng.standard_normal((PAIRS, d)), x[rng.integers(0, n, PAIRS)] - x[rng.integers(0, n, PAIRS)]):
+        away = away - (away * own).sum(1, keepdims=True) * own
+        size = np.linalg.norm(away, axis=1)
+        some = size > 1e-9
+        if some.any():
+            out.append((own[some], threshold * own[some] + np.sqrt(1 - threshold**2) * away[some] / size[some, None]))
+    few = x[rng.permutation(n)[:PAIRS]]
+    close = np.triu(few @ few.T, 1)
+    for least, most in ((threshold, threshold + (1 - threshold) / 4), (threshold, 2.0)):
+        a, b = np.nonzero((close >= least) & (close < most))
+        if len(a) >= 30:
+            chosen = rng.permutation(len(a))[:PAIRS]
+            out.append((few[a[chosen]], few[b[chosen]]))
+            break
+    return out
+
+
+def tables(sample: np.ndarray, model: tuple[np.ndarray, np.ndarray], members: int, threshold: float) -> list[np.ndarray]:
+    """The places of the bits that each table indexes, for labels of up to ``members`` classes."""
+    n_bits = min(BITS, model[1].shape[1])
+    flips = [bits(a, model) != bits(b, model) for a, b in hard_pairs(sample, threshold)]
+    longest = min(LONGEST, n_bits, max(1, int(np.ceil(np.log2(max(2.0, members / CELL))))))
+    for length in range(longest, 0, -1):
+        # permutations of the code, cut into substrings
+        rng = np.random.default_rng(31)
+        places: list[np.ndarray] = []
+        most = TABLES if length > 1 else n_bits
+        while len(places) < most:
+            order = rng.permutation(n_bits)
+            places += [order[i : i + length] for i in range(0, n_bits - length + 1, length)]
+        found = [np.zeros(len(f), bool) for f in flips]
+        for k, place in enumerate(places[:most]):
+            found = [hit | ~f[:, place].any(1) for hit, f in zip(found, flips, strict=True)]
+            if all(hit.mean() >= RECALL for hit in found):
+                return places[: k + 1]
+    return [np.array([i]) for i in range(n_bits)]
+
+
+def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None, places: list[np.ndarray]) -> np.ndarray:
+    """Substrings of each vector's code, one column a table."""
+    signs = bits(x, model)
+    return np.stack([signs[:, p[p < signs.shape[1]]] @ (1 << np.arange((p < signs.shape[1]).sum())) for p in places], 1).astype(np.int64)
 
 
 def _matrix(lists: pa.Array, d: int) -> np.ndarray:
@@ -96,7 +156,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes_of(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    own = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
+    own = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast(kind))
     sound = F.size("embedding") > 0
     sound &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     own = own.withColumn("class", F.when(F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull(), F.xxhash64("label", "embedding")))
@@ -107,7 +168,12 @@ def classes_of(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE
     by_length: dict[int, list] = {}
     for x in drawn:
         by_length.setdefault(len(x), []).append(x)
-    models = {d: fit(np.array(x, np.float64)) for d, x in by_length.items()}
+    largest = {r.d: r.n for r in classes.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).groupBy("d").agg(F.max("n").alias("n")).collect()}  # a row for each length of vectors
+    models = {}
+    for d, x in by_length.items():
+        drawn_ = np.array(x, np.float64)
+        model = fit(drawn_)
+        models[d] = model, tables(drawn_, model, largest[d], threshold)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +181,11 @@ def classes_of(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMPLE
             sizes = np.diff(lists.offsets.to_numpy())
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
-                found = codes(_matrix(lists.take(pa.array(rows)), int(d)), models.get(int(d)))
+                found = codes(_matrix(lists.take(pa.array(rows)), int(d)), *models.get(int(d), (None, [np.arange(i, i + 1) for i in range(min(BITS, int(d)))])))
                 lists_ = pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * found.shape[1]).astype(np.int32)), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("class", "n", "label", "embedding")), lists_], ["class", "n", "label", "embedding", "code"])
 
-    coded = settled(classes.select("class", "n", "label", "embedding").mapInArrow(indexed, "class long, n long, label long, embedding array<double>, code array<long>"), "codes")
+    coded = settled(classes.select("class", "n", "label", "embedding").mapInArrow(indexed, f"class long, n long, label long, embedding {kind}, code array<long>"), "codes")
     placed = coded.select("*", F.posexplode("code").alias("table", "part"))
     placed = placed.withColumn("key", F.xxhash64("label", F.size("embedding"), "table", "part"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
