@@ -39,7 +39,7 @@ _PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, sha
 #: Pieces handed to Spark at once, by bytes of ids.
 _OUT_BYTES = 4 << 20
 #: Offsets, one row per task and length, go to all executors up to this many rows (24 bytes each); beyond, Spark shuffles.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 18
 #: Remainders are cut again only if packing them whole leaves a larger share of the sequences empty.
 MOST_PADDING = 0.01
 

@@ -6,17 +6,17 @@ repeated lines, capitals, marks, line length). Term weights are damped counts ti
 frequency; the leading right singular vectors of the labelled texts' matrix are
 the latent space. The labelled vectors, ``SAMPLE_DOCS`` times ``DIMENSIONS``
 numbers at most, go to every task. Each task computes the cosines of a block of
-documents with all of them, takes the ``NEIGHBOURS`` nearest exactly and weighs
-their labels by similarity.
+documents with all of them, takes the ``NEIGHBOURS`` nearest exactly, with all
+that are as near as the last of these, and weighs their labels by similarity.
 
 The bound is a parameter: labelled documents outside the held-out fold, lowest
 by hash. Everything else covers all documents, whole.
 
 Defined results: null and empty texts, and all texts when nothing is labelled,
-score the share of label 1 among the labelled (0.5 without any); equal
-similarities at the last place are all of one weight, whichever is taken;
-repeated documents score alike, row by row; repeated labels of a document count
-by their mean; null labels and null doc_ids teach nothing; an empty table gives
+score the share of label 1 among the labelled (0.5 without any); at ties for the
+last place all vote; repeated documents score alike, row by row; repeated labels
+of a document count by their mean, and of unlike texts of its id the smallest is
+learned from; very long texts are scored whole; null labels and null doc_ids teach nothing; an empty table gives
 no rows; further columns are ignored.
 """
 
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     each = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("quality"))
     lowest = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = lean(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(lowest), "doc_id").select("doc_id", "text", "quality")
+    sample = lean(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(lowest), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
                     own = [batch.column(c).slice(rows.start, len(x)) for c in ("doc_id", "quality")]
                     yield pa.RecordBatch.from_arrays([*own, pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = sample.mapInArrow(vectors, "doc_id long, quality double, terms binary").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    got = sample.mapInArrow(vectors, "doc_id long, quality double, terms binary").toPandas().sort_values("doc_id", kind="stable")
     if not len(got):
         return Model(np.ones(TERMS, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     x = np.frombuffer(b"".join(got["terms"]), np.float16).reshape(-1, WIDTH).astype(np.float32)
@@ -161,10 +161,11 @@ def score(model: Model, terms: np.ndarray, neighbours: int = NEIGHBOURS) -> np.n
     own = _unit(_weighed(terms, model.idf) @ model.axes).astype(np.float32)
     similar = own @ model.vectors.T
     k = min(neighbours, similar.shape[1])
-    near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64) ** 4
-    total = weight.sum(1)
-    vote = (weight * model.labels[near]).sum(1) / np.maximum(total, 1e-300)
+    last = np.partition(similar, similar.shape[1] - k, axis=1)[:, -k, None]
+    row, near = np.nonzero(similar >= last)
+    weight = np.maximum(similar[row, near], 0).astype(np.float64) ** 4
+    total = np.bincount(row, weight, len(terms))
+    vote = np.bincount(row, weight * model.labels[near], len(terms)) / np.maximum(total, 1e-300)
     return np.clip(np.where((total > 0) & (terms.sum(1) > 0), vote, model.prior), 0, 1)
 
 

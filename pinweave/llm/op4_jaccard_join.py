@@ -66,8 +66,8 @@ BAND, SPARE = 1.7, 0.18
 FAN, TILE, TILE_TOKENS = 16, 2048, 1 << 21
 #: Texts that a task remembers, so as not to describe their copies again, and keys of which it puts equal ones together at once.
 SEEN, CHUNK = 1 << 16, 1 << 18
-#: Rows of documents whose sets are needed go to all executors up to this many (24 MB); beyond, Spark shuffles.
-BROADCAST_ROWS = 1 << 20
+#: Rows of documents whose sets are needed go to all executors up to this many (6 MB); beyond, Spark shuffles.
+BROADCAST_ROWS = 1 << 18
 
 _U = np.uint64
 _SPARSE = 128

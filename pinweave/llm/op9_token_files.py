@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pinweave.llm.tables import lean, table
 from pinweave.llm.tokens import encoder, vocabulary_path
-from pinweave.storage import new_path
+from pinweave.storage import new_path, settled
 
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 
@@ -55,7 +55,9 @@ def write(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end
                 start += int(ends[-1])
         code.rest()
 
-    rows = lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ["doc_id", F.xxhash64("text")]  # so rows without an id, or with one id, are dealt out too
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(encoded, SCHEMA).write.options(
         **{
             "compression": "zstd",
@@ -73,9 +75,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows of token files with their global places: doc_id, start, n_tokens, ids. Unused columns are never read."""
     files = spark.read.schema(SCHEMA).parquet(path)
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    # one row per file: a bound that holds for any number of documents
+    # one row per file, written first, so Spark broadcasts it only where its size is below its own bound
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(before, F.lit(0)).alias("before"))
-    return files.join(F.broadcast(totals), "shard").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return files.join(settled(totals, "shards"), "shard").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

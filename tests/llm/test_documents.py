@@ -30,6 +30,23 @@ def test_classifier_tells_held_out_labels(spark):
     assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.9
 
 
+def test_vote_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    vectors = op1._unit(rng.standard_normal((40, 8))).astype(np.float32)
+    vectors[20:] = vectors[:20]  # ties everywhere
+    labels = rng.integers(0, 2, 40).astype(float)
+    model = op1.Model(np.ones(op1.TERMS, np.float32), rng.standard_normal((op1.WIDTH, 8)).astype(np.float32), vectors, labels, 0.5)
+    terms = rng.poisson(0.3, (12, op1.WIDTH)).astype(np.float32)
+    own = op1._unit(op1._weighed(terms, model.idf) @ model.axes)
+    for x, got in zip(own, op1.score(model, terms, 5), strict=True):
+        similar = sorted(((float(x @ v), y) for v, y in zip(vectors, labels, strict=True)), reverse=True)
+        near = [(c, y) for c, y in similar if c >= similar[4][0] - 1e-6]
+        weights = [max(c, 0) ** 4 for c, _ in near]
+        assert abs(got - sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights)) < 1e-4
+
+
 def test_classifier_odd(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 140)] + [(100, 1), (None, 1), (101, None)], "doc_id long, quality int")
     model = op1.learn(odd, labels)
@@ -74,18 +91,40 @@ def test_query_digest(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
 
 
-def test_markov_spans(spark, documents):
-    samples = op2.default_samples(documents)
+def test_markov_spans_against_brute_force(spark, documents):
+    samples = op2.default_samples(documents).cache()
     model = op2.train(samples)
-    tokens = {"dGhpcyBpcyBhIHNlY3JldCBrZXk": True, "AKx9fQ2LmZp8Wv3Rt7Yc1Nb5": True, "thtionherreandstoningthe": False, "erthon_what_han_tin_theare": False}
-    rows = spark.createDataFrame(list(tokens), "string").select("value", (op2.markov_score(F.col("value"), model) > 1500).alias("found")).collect()
-    assert {r.value: r.found for r in rows} == tokens
-    docs = spark.createDataFrame([(1, "see AKx9fQ2LmZp8Wv3Rt7Yc1Nb5 here"), (2, "token=AKx9fQ2LmZp8Wv3Rt7Yc1Nb5")], "doc_id long, text string")
-    found = {r.doc_id: r for r in op2.scan(docs, samples).collect()}
-    assert [tuple(x) for x in found[1].spans] == [(4, 3, 28)]
-    assert [tuple(x) for x in found[2].spans] == [(0, 0, 30)]
-    clean = {r.doc_id: r.text for r in op2.redacted(op2.scan(docs, samples)).collect()}
-    assert clean == {1: "see [SECRET] here", 2: "[SECRET]"}
+    threshold, recall = op2.threshold_of(samples, model)
+    assert recall > 0.97
+    planted = ["dGhpcyBpcyBhIHNlY3JldCBrZXk", "AKx9fQ2LmZp8Wv3Rt7Yc1Nb5", "9F8E7D6C5B4A39281706F5E4D3C2B1A09F8E7D6C", "qzkxwvjhtrpbmcdgyfns", "x7k2q9w4z8v3j6h1t5r0", "thtionherreandstoningthe", "erthon_what_han_tin_theare", "short1"]
+    rows = [(i, f"see {x} here, é {x}") for i, x in enumerate(planted)] + [(20, "token=AKx9fQ2LmZp8Wv3Rt7Yc1Nb5"), (21, " ".join(planted) + " 0123456789abcdef0123456789abcdef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(documents.select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+
+    def score(token):
+        at = [op2.ALPHABET.index(c) for c in token]
+        return sum(model[a * len(op2.ALPHABET) + b] for a, b in zip(at, at[1:], strict=False)) / (len(token) - 1)
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    scanned = op2.scan(docs, samples)
+    found = {r.doc_id: [tuple(x) for x in r.spans] for r in scanned.collect()}
+    clean = {r.doc_id: r.text for r in op2.redacted(scanned).collect()}
+    for i, text in texts.items():
+        base = _base(text)
+        more = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if score(m[0]) > threshold]
+        want = sorted(base + [s for s in more if not any(b[0] < s[2] and s[0] < b[2] for b in base)])
+        assert found[i] == want, i
+        out, at = "", 0
+        for a, _, b in want:
+            out += "" if a < at else text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert clean[i] == out + text[at:] or not text
+    assert all(len(found[i]) == 2 for i in range(5)) and not found[5] and not found[7]
+
+
+def test_many_matches(spark):
+    text = " ".join(f"tökén token=abcdefgh{i}" for i in range(700))
+    row = op2.redacted(op2.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), threshold=0.0)).first()
+    assert row.text == " ".join("tökén [SECRET]" for _ in range(700))
 
 
 def test_secrets_odd(odd, none):
@@ -128,6 +167,24 @@ def test_spans_of_mixed_text(spark, documents):
     assert [s.lang for s in spans] == ["en", "de"] and abs(spans[0].end - 60) <= 3
 
 
+def test_viterbi_against_every_path():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    evidence = -rng.integers(0, 12, (9, 3)).astype(np.float32)
+    texts = [rng.integers(0, 9, n) for n in (0, 1, 2, 6, 7, 3)]
+    begins = np.cumsum([0] + [len(x) for x in texts])
+    labels = op3.viterbi(begins, np.concatenate(texts).astype(int), evidence, 5.0)
+    for a, b, words in zip(begins, begins[1:], texts, strict=False):
+
+        def worth(path, words=words):
+            return sum(evidence[w, k] for w, k in zip(words, path, strict=True)) - 5.0 * sum(x != y for x, y in zip(path, path[1:], strict=False))
+
+        assert not len(words) or worth(tuple(labels[a:b])) == max(map(worth, itertools.product(range(3), repeat=len(words))))
+
+
 # -- Jaccard join
 
 
@@ -181,12 +238,42 @@ def test_trees_lose_nothing():
     sizes, t = points.sum(1), op4.Threshold(4, 5)
     classes = np.arange(150)
     near = {(i, j) for i in range(150) for j in range(i) if np.minimum(points[i], points[j]).sum() >= t.needed(sizes[i], sizes[j])}
-    one = {(max(p), min(p)) for p in op4.join(points, sizes, classes, np.zeros(150, int), t)}
+
+    def found(tile, classes=classes):
+        return {(max(p), min(p)) for xs, ys in op4.join(points, sizes, classes, tile, t) for p in zip(xs.tolist(), ys.tolist(), strict=True)}
+
+    one = found(np.zeros(150, int))
     assert one >= {p for p in near if 4 * max(sizes[list(p)]) <= 5 * min(sizes[list(p)])} and one <= near
     tile = (np.arange(150) % 2).astype(int)
-    across = {(max(p), min(p)) for p in op4.join(points, sizes, classes, tile, t)}
-    assert across == {p for p in one if tile[p[0]] != tile[p[1]]}
-
+    assert found(tile) == {p for p in one if tile[p[0]] != tile[p[1]]}
+    assert not found(np.zeros(150, int), np.zeros(150, int))
+    tree = op4.Tree(points, sizes, classes)
+    assert [len(x[0]) for x in tree.levels] == [10, 1] and sorted(tree.order) == list(range(150))
+
+
+def test_texts_of_one_id_and_rows_without_one(spark):
+    """Links of unlike texts of an id, and over rows that have none, are not lost."""
+    words = [f"w{i}" for i in range(80)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    chain = [" ".join([f"x{j}" if j < 3 * i else w for j, w in enumerate(words)]) for i in range(3)]
+    for rows in ([(1, a), (1, b), (2, a + " more"), (3, b + " more")], [(3, b + " more"), (2, a + " more"), (1, b), (1, a), (1, a)]):
+        found = {(r.doc_id, r.component_id) for r in op4.classes_of(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+        assert found == {(1, 1), (2, 1), (3, 1)}
+    rows = [(10, chain[0]), (None, chain[1]), (11, chain[2]), (None, "alone with five words here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.doc_id, r.component_id) for r in op4.classes_of(docs, 1, 9, 10).collect()]
+    assert sorted(found, key=str) == sorted([(10, 10), (None, 10), (11, 10), (None, None), (None, None)], key=str)
+    left = [(r.doc_id, r.text) for r in op4.first_of_each(docs, 1, 9, 10).collect()]
+    assert sorted(left, key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
+def test_cells_of_a_hot_key_stay_apart(spark):
+    """Texts that share most of a passage, and more nodes than a tile holds: links as by brute force, a forest at most."""
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"own{i}x{j}" for j in range(3 + i % 9)])) for i in range(150)]
+    docs = spark.createDataFrame(rows + [(200 + i, t.replace("p7", f"q{i}")) for i, t in rows[::10]], "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in op4.classes_of(docs, 1, 9, 10).collect()}
+    assert found == _brute(docs.collect(), 1, 9, 10)
 
 def test_classes_odd(odd, none):
     rows = op4.classes_of(odd, 3, 9, 10).collect()
@@ -217,6 +304,26 @@ def test_mixing_meets_targets(spark):
     assert [r.shuffle_key for r in op5.mix(docs).limit(5).collect()] == [r.shuffle_key for r in op5.mix(docs).limit(5).collect()]
 
 
+def test_mixing_of_small_sources_and_rows_without_ids(spark):
+    docs = spark.range(40_000).select(F.when(F.col("id") < 30_000, F.col("id")).alias("doc_id"), F.concat(F.lit("x"), F.col("id")).alias("text"), F.when(F.col("id") < 8, "rare").otherwise("big").alias("source"))
+    mixed = op5.mix(docs, weights={"big": 0.5, "rare": 0.5}).cache()
+    n = [r.n for r in mixed.where("source = 'rare'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    assert len(set(n)) > 3 and all(6700 < x < 7600 for x in n)
+    none = mixed.where("doc_id IS NULL")
+    assert none.select("shuffle_key").distinct().count() > 0.9 * none.count() > 3000
+    assert mixed.agg(F.max("copy"), F.max("n_copies")).first()[0] == max(n)
+
+
+def test_rules_judge_rows(spark):
+    line = "subscribe to our newsletter now and never miss a story again my friends"
+    own = " ".join(f"plain{i}" for i in range(8))
+    rows = [(i, f"{line}\nown{i} {' '.join(f'w{i}x{j}' for j in range(30))}") for i in range(20)] + [(100, f"{line}\n{own}"), (100, f"{own} and some words that stand alone"), (None, f"{line}\n{own} z"), (None, f"{own} other words without the line")]
+    found = op7.judge(spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))).collect()
+    assert len(found) == len(rows)
+    assert sorted((r.removed_words, r.kept) for r in found if r.doc_id in (100, None)) == [(0, True), (0, True), (13, False), (13, False)]
+    assert all(r.removed_words == 13 and r.kept for r in found if r.doc_id is not None and r.doc_id < 20)
+
+
 def test_rules_odd(spark, odd, none):
     rows = op7.judge(odd).collect()
     assert len(rows) == odd.count() and op7.judge(none).count() == 0
@@ -228,7 +335,7 @@ def test_rules_odd(spark, odd, none):
     docs = spark.createDataFrame([(i, f"{line}\nown{i}" + (" word%d" * 30 % tuple(range(i, i + 30)) if i % 2 else "")) for i in range(40)], "doc_id long, text string").withColumn("source", F.lit("h"))
     assert {r.doc_id % 2 for r in op7.judge(docs).where("kept").collect()} == {1}
     copies = docs.withColumn("text", F.lit(f"{line}\n{line[::-1]}"))
-    assert op7.judge(copies).where("kept").count() == 40
+    assert op7.judge(copies).where("kept").count() == 0 and op7.judge(copies.limit(10)).where("kept").count() == 10
 
 
 def test_every_language_is_learned_at_every_size(spark):

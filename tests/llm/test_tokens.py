@@ -125,3 +125,30 @@ def test_query_checksums(spark):
     for r in op10_packing.op10_packing(spark, SF).collect():
         ids = np.array([*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length])
+
+
+def test_token_files_can_be_read_in_parts(spark, documents, tmp_path):
+    """Encodings, row groups and page indexes of the files, and what a selective read leaves out."""
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "tokens"
+    op9_token_files.write(documents.repartition(3), f"file://{path}", row_group_bytes=64 << 10, page_bytes=4 << 10)
+    last = None
+    for file in sorted(path.glob("part-*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        assert meta.num_row_groups > 1
+        for k in range(meta.num_row_groups):
+            group = meta.row_group(k)
+            columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+            assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings
+            assert {"DELTA_BINARY_PACKED"} <= set(columns["doc_id"].encodings) & set(columns["local_start"].encodings)
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            stats = columns["doc_id"].statistics
+            assert last is None or stats.min > last
+            last = stats.max
+            # metadata can be read without the tokens
+            assert columns["doc_id"].total_compressed_size + columns["n_tokens"].total_compressed_size < columns["ids.list.element"].total_compressed_size / 10
+    found = op9_token_files.read(spark, f"file://{path}").where(f"doc_id = {last}").select("doc_id", "n_tokens")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert found.count() == 1
