@@ -17,13 +17,12 @@ def cluster_weights(g: Hypergraph, match: DataFrame) -> DataFrame:
 def contract(g: Hypergraph, match: DataFrame) -> Hypergraph:
     """The coarse graph of match (v, c): pins mapped, hyperedges of one pin dropped, equal ones merged with summed weight.
 
-    Equal pin sets are found by their size and two sums of hashes (128 bits),
+    Equal pin sets are found by their size, their ends and two sums of hashes of different seeds (128 bits),
     aggregated on both sides of the exchange, so a long hyperedge is never one
     row. A merged hyperedge keeps the smallest id.
     """
     pins = g.pins.join(match, "v").select("e", F.col("c").alias("v")).distinct()
-    h = F.xxhash64("v")
-    sets = pins.groupBy("e").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("h2"), F.max("v").alias("hi")).where("n > 1")
+    sets = pins.groupBy("e").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.bit_xor(F.xxhash64("v")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("h2"), F.max("v").alias("hi")).where("n > 1")
     merged = sets.join(g.hedges, "e").groupBy("n", "lo", "hi", "h1", "h2").agg(F.min("e").alias("e"), F.sum("w").alias("w")).select("e", "w")
     return Hypergraph(cluster_weights(g, match), merged, pins.join(merged.select("e"), "e", "left_semi"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import random
 from dataclasses import dataclass, field
+from itertools import count
 
 from pinweave.functions.scalars import part_cap, recursive_balance
 
@@ -239,7 +240,7 @@ def _key(g: Local, part: list[int], cap: float) -> tuple:
     return (over, cut(g, part), abs(side[0] - side[1]))
 
 
-def bisect(g: Local, cap: float, seed: int, runs: int = 10, ratio: float = 1.75, minimum: int = 100, v_cycles: str = "final-only") -> list[int]:
+def bisect(g: Local, cap: float, seed: int, runs: int = 10, ratio: float = 1.75, minimum: int = 100, v_cycles: str = "final-only", fan_out: bool = True, by_weight: bool = True) -> list[int]:
     """Multilevel bisection with V-cycles: at the end, at every level, or off."""
 
     def refined(level: Local, part: list[int]) -> list[int]:
@@ -249,7 +250,7 @@ def bisect(g: Local, cap: float, seed: int, runs: int = 10, ratio: float = 1.75,
         levels, part = [top], inside
         matches: list[list[int]] = []
         while len(levels[-1].weights) > minimum:
-            match = first_choice(levels[-1], max(cap - top.total / 2, max(top.weights, default=0), 1), ratio, seed + salt + len(levels), part=part)
+            match = first_choice(levels[-1], max(cap - top.total / 2, max(top.weights, default=0), 1), ratio, seed + salt + len(levels), fan_out, by_weight, part)
             if match is None:
                 break
             matches.append(match)
@@ -268,7 +269,9 @@ def bisect(g: Local, cap: float, seed: int, runs: int = 10, ratio: float = 1.75,
         return found
 
     part = down(g, None, 0)
-    for i in range(1, 6 if v_cycles != "off" else 1):
+    for i in count(1):
+        if v_cycles == "off":
+            break
         new = down(g, part, 7919 * i)
         if _key(g, new, cap) >= _key(g, part, cap):
             break
@@ -317,7 +320,7 @@ def greedy_pass(g: Local, part: list[int], k: int, cap: int, seed: int) -> tuple
 
 
 def greedy_kway(g: Local, part: list[int], k: int, cap: int, seed: int) -> list[int]:
-    for i in range(20):
+    for i in count():
         part, gain = greedy_pass(g, part, k, cap, seed + i)
         if gain <= 0:
             break
@@ -350,7 +353,7 @@ def rebalance_kway(g: Local, part: list[int], k: int, cap: int) -> list[int]:
     return part
 
 
-def recursive_bisection(g: Local, k: int, eps: float, seed: int = 1, runs: int = 10, v_cycles: str = "final-only") -> list[int]:
+def recursive_bisection(g: Local, k: int, eps: float, seed: int = 1, runs: int = 10, v_cycles: str = "final-only", fan_out: bool = True, by_weight: bool = True) -> list[int]:
     """k parts, a power of two, by log2(k) levels of bisection; then rebalanced and refined k ways."""
     if k & (k - 1) or k < 1:
         raise ValueError("recursive bisection needs a power of two as number of parts")
@@ -365,7 +368,7 @@ def recursive_bisection(g: Local, k: int, eps: float, seed: int = 1, runs: int =
         at = {v: i for i, v in enumerate(ids)}
         sub = local([g.weights[v] for v in ids], [[at[v] for v in pins if v in at] for pins in g.edges], g.edge_weights)
         limit = cap if left == 1 else sub.total / 2 * (1 + slack)
-        halves = bisect(sub, max(limit, (sub.total + 1) // 2), seed + 1009 * name + left, runs, v_cycles=v_cycles)
+        halves = bisect(sub, max(limit, (sub.total + 1) // 2), seed + 1009 * name + left, runs, v_cycles=v_cycles, fan_out=fan_out, by_weight=by_weight)
         split([v for v in ids if halves[at[v]] == 0], left - 1, name)
         split([v for v in ids if halves[at[v]] == 1], left - 1, name | 1 << (left - 1))
 

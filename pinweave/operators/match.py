@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,24 +39,48 @@ def best_matches(scored: DataFrame, cap: int | None = None) -> DataFrame:
     return best.select("v", F.col("b.u").alias("u"), (-F.col("b.s")).alias("score"))
 
 
+#: A host's proposals are first looked through in so many slices.
+SLICES = 32
+
+
 def accept(proposals: DataFrame, room: DataFrame) -> DataFrame:
-    """(seeker, host) of proposals (seeker, host, w, score) that fit the host's room, best score first."""
-    order = Window.partitionBy("host").orderBy(F.desc("score"), "seeker")
-    return proposals.join(room, "host").withColumn("sum", F.sum("w").over(order)).where("sum <= room").select("seeker", "host")
+    """(seeker, host) of proposals (seeker, host, w, score) that fit the host's room, best score first.
+
+    In each slice of a host's seekers, those behind more weight than its room
+    can't be accepted; so of a hub's seekers few are left for the sum over all.
+    """
+    known = proposals.join(room, "host").withColumn("slice", mixed(F.col("seeker"), 17) % SLICES)
+    order = [F.desc("score"), "seeker"]
+    ahead = F.sum("w").over(Window.partitionBy("host", "slice").orderBy(*order)) - F.col("w")
+    few = known.withColumn("ahead", ahead).where("ahead <= room")
+    return few.withColumn("sum", F.sum("w").over(Window.partitionBy("host").orderBy(*order))).where("sum <= room").select("seeker", "host")
+
+
+def loose_match(g: Hypergraph, cap: int, parts: DataFrame | None = None) -> DataFrame:
+    """(v, c): vertices in no hyperedge of two pins go together under the cap, by chance; all others stay alone."""
+    held = edge_lengths(g).where("len > 1").select("e")
+    alone = g.verts.join(g.pins.join(held, "e").select("v").distinct(), "v", "left_anti")
+    alone = alone.withColumn("part", F.lit(0).cast("long")) if parts is None else alone.join(parts.select("v", "part"), "v")
+    total = alone.agg(F.sum("w")).first()[0] or 0
+    dealt = alone.withColumn("bucket", mixed(F.col("v"), 29) % max(1, -(-2 * total // max(1, cap))))
+    upto = F.sum("w").over(Window.partitionBy("part", "bucket").orderBy("w", "v"))
+    together = settled(dealt.withColumn("upto", upto).where(F.col("upto") <= cap).select("part", "bucket", "v"), "loose")
+    first = together.groupBy("part", "bucket").agg(F.min("v").alias("c"))
+    return g.verts.select("v").join(together.join(first, ["part", "bucket"]).select("v", "c"), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
 
 
-def first_choice(g: Hypergraph, cap: int, ratio: float = 1.75, metric: int = 0, parts: DataFrame | None = None, seed: int = 1, rounds: int = 12) -> DataFrame:
+def first_choice(g: Hypergraph, cap: int, ratio: float = 1.75, metric: int = 0, parts: DataFrame | None = None, seed: int = 1) -> DataFrame:
     """(v, c): clusters by rounds of first choice; c is the smallest-id host of the cluster.
 
     Each round a seeded bit splits the free vertices into seekers and hosts, so
     no chain forms. A seeker proposes to the cluster of its best neighbour;
     clusters accept by score while their weight stays under the cap. Rounds end
-    when vertices / clusters exceeds ``ratio`` or none was accepted twice.
+    when vertices / clusters exceeds ``ratio`` or four of them in a row had nothing to accept.
     """
     scored = settled(scores(g, metric, parts).where("score > 0"), "scores")
     match = settled(g.verts.select("v", F.lit(None).cast("long").alias("c"), "w"), "match")
     n, idle = match.count(), 0
-    for i in range(rounds):
+    for i in count():
         seeks = F.col("c").isNull() & ((F.floor(mixed(F.col("v"), seed * 7919 + i * 104729) / 64) % 2) == 0)
         state = match.withColumn("seeks", seeks)
         host = state.where("NOT seeks").select(F.col("v").alias("u"), F.coalesce("c", "v").alias("host"))
@@ -70,17 +96,17 @@ def first_choice(g: Hypergraph, cap: int, ratio: float = 1.75, metric: int = 0,
         match = settled(match.join(joined, "v", "left").select("v", F.coalesce("c", "to").alias("c"), "w"), "match")
         left, hits = match.select(F.coalesce("c", "v").alias("c")).distinct().count(), taken.count()
         idle = 0 if hits else idle + 1
-        if idle == 2 or left == 0 or n / left >= ratio:
+        if idle == 4 or left == 0 or n / left >= ratio:
             break
     return match.select("v", F.coalesce("c", "v").alias("c"))
 
 
-def hyperedge_match(g: Hypergraph, cap: int, ratio: float = 1.75, rounds: int = 6) -> DataFrame:
+def hyperedge_match(g: Hypergraph, cap: int, ratio: float = 1.75) -> DataFrame:
     """(v, c): short and heavy hyperedges merge the free vertices that chose them, two or more, under the cap."""
     order = settled(edge_lengths(g).where("len > 1"), "lengths")
     match = settled(g.verts.select("v", F.lit(None).cast("long").alias("c"), "w"), "match")
     n = match.count()
-    for _ in range(rounds):
+    while True:
         free = match.where("c IS NULL").select("v", F.col("w").alias("wv"))
         held = g.pins.join(order, "e").join(free, "v")
         choice = held.groupBy("v", "wv").agg(F.min(F.struct("len", (-F.col("w")).alias("nw"), "e")).alias("b")).select("v", "wv", F.col("b.e").alias("e"))

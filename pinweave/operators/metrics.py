@@ -150,20 +150,22 @@ def vertex_neighbour_parts(g: Hypergraph, parts: DataFrame) -> DataFrame:
     return g.pins.join(edge_part_counts(g, parts).select("e", "part"), "e").select("v", "part").distinct()
 
 
-def move_gains(g: Hypergraph, parts: DataFrame) -> DataFrame:
+def move_gains(g: Hypergraph, parts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(v, src, dst, gain): what the k-1 cut loses when a vertex moves to a part it touches.
 
     Gain = weight of hyperedges it alone holds in its part, minus that of its
     hyperedges that don't reach the target. The latter is its degree minus those
-    that do, so only (hyperedge, part) counts are joined to pins.
+    that do, so only (hyperedge, part) counts are joined to pins. ``counts`` are
+    these, if they are known.
     """
-    counts = edge_part_counts(g, parts)
+    counts = edge_part_counts(g, parts) if counts is None else counts.select("e", "part", "cnt")
     touching = g.pins.join(parts.withColumnRenamed("part", "src"), "v").join(g.hedges, "e").join(counts, "e")
     alone = F.when((F.col("part") == F.col("src")) & (F.col("cnt") == 1), F.col("w")).otherwise(0)
     by_part = touching.groupBy("v", "src", "part").agg(F.sum("w").alias("reach"), F.sum(alone).alias("alone"))
-    own = by_part.where("part = src").select("v", F.col("reach").alias("degree"), F.col("alone").alias("own_alone"))
-    to = by_part.where("part <> src").select("v", "src", F.col("part").alias("dst"), "reach")
-    return to.join(own, "v").select("v", "src", "dst", (F.col("own_alone") - F.col("degree") + F.col("reach")).alias("gain"))
+    here = F.col("part") == F.col("src")
+    # a vertex touches k parts at most
+    each = by_part.groupBy("v", "src").agg(F.max(F.when(here, F.col("alone") - F.col("reach"))).alias("stays"), F.collect_list(F.when(~here, F.struct("part", "reach"))).alias("to"))
+    return each.select("v", "src", "stays", F.explode("to").alias("t")).select("v", "src", F.col("t.part").alias("dst"), (F.col("stays") + F.col("t.reach")).alias("gain"))
 
 
 def cap_of(g: Hypergraph, k: int, eps: float) -> tuple[int, int]:

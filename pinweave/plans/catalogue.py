@@ -462,19 +462,16 @@ def _cluster_facts(g: Hypergraph, match: DataFrame, cap: int) -> DataFrame:
 
 
 def _part_facts(g: Hypergraph, parts: DataFrame, cut: int, bound: int, k: int = K) -> DataFrame:
-    """One row: every vertex has a part, no part is over the cap, and the cut is no more than the bound."""
+    """One row: every vertex has a part, no part is over the cap, the cut is what its parts have, and it is no more than the bound."""
     cap, _ = A.cap_of(g, k, 0.05)
     covered = g.verts.join(parts, "v").agg(F.count("*").alias("n"))
-    return A.validity(g, parts, k, cap).withColumn("one", F.lit(1)).join(covered.withColumn("one", F.lit(1)), "one").select(F.col("n").alias("covered"), "in_range", "balanced", F.lit(cut <= bound).alias("cut_falls"))
+    real = A.k1_cut(g, parts).select((F.col("k1_cut") == cut).alias("cut_holds"), F.lit(1).alias("one"))
+    facts = A.validity(g, parts, k, cap).withColumn("one", F.lit(1)).join(covered.withColumn("one", F.lit(1)), "one").join(real, "one")
+    return facts.select(F.col("n").alias("covered"), "in_range", "balanced", "cut_holds", F.lit(cut <= bound).alias("cut_falls"))
 
 
 _CLUSTER_SQL = "SELECT count(*) AS covered, true AS under_cap FROM verts"
-_PART_SQL = "SELECT count(*) AS covered, true AS in_range, true AS balanced, true AS cut_falls FROM verts"
-
-
-def _options(**more) -> Options:
-    own = {"recursive_bisection__v_cycles": "off", "recursive_bisection__number_of_initial_partitioning_runs": 2, "coarsening__minimum_coarse_vertices": 100, "coarsening__connectivity_metric": 2}
-    return Options().but(**own | more)
+_PART_SQL = "SELECT count(*) AS covered, true AS in_range, true AS balanced, true AS cut_holds, true AS cut_falls FROM verts"
 
 
 @_query(sql=_CLUSTER_SQL)
@@ -494,39 +491,48 @@ def restrictive_match(g):
     return _cluster_facts(g, match, 8).withColumn("one", F.lit(1)).join(inside.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def _coarsest(g: Hypergraph) -> tuple[Hypergraph, DataFrame]:
-    """H1 by blocks of vertex ids, so that one task can hold it at any scale, and the match."""
-    n = g.verts.count()
-    match = g.verts.select("v", F.floor(F.col("v") / max(1, n // 200)).cast("long").alias("c"))
-    return control.settle(C.contract(g, match)), match
+def _across(g: Hypergraph, k: int) -> tuple[list[Hypergraph], list[DataFrame]]:
+    """The levels of g and the matches between them, by default options."""
+    levels, matches, _ = control._downwards(control.settle(S.drop_singletons(g)), k, Options({"number-of-parts": k}), None, control.coarsen_once)
+    return levels, matches
 
 
-@_query(sql=", c AS (SELECT DISTINCT v // greatest(1, (SELECT count(*) FROM verts) // 200) AS c FROM verts) SELECT count(*) AS covered, true AS balanced FROM c")
+@_query(sql=", w AS (SELECT CAST(sum(w) AS BIGINT) AS weight FROM verts) SELECT weight, true AS in_range, true AS balanced, true AS cut_falls FROM w")
 def initial_bisection(g):
-    coarse, _ = _coarsest(g)
-    small, ids = control.to_local(coarse)
-    cap = small.total * 0.5 * 1.1 + max(small.weights)
-    halves = kernel.bisect(small, cap, 1, 4)
-    rows = g.verts.sparkSession.createDataFrame(list(zip(ids, halves, small.weights, strict=True)), "v long, part long, w long")
-    return rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("w").alias("w")).agg(F.sum("n").alias("covered"), (F.max("w") <= cap).alias("balanced"))
+    """Two halves of the coarsest graph: a cut below that of halving by number, and even as vertices allow."""
+    coarse = _across(g, 2)[0][-1]
+    if coarse.pins.count() > control.KERNEL_PINS:
+        coarse = control.settle(S.shortest(coarse, control.KERNEL_PINS))
+    small, _ = control.to_local(coarse)
+    cap = max(small.total * 0.5 * 1.05, (small.total + 1) // 2 + max(small.weights) / 2)
+    halves = kernel.bisect(small, cap, 1)
+    weights = [sum(w for w, p in zip(small.weights, halves, strict=True) if p == q) for q in (0, 1)]
+    falls = kernel.cut(small, halves) <= 0.98 * kernel.cut(small, [v % 2 for v in range(len(halves))])
+    return g.verts.sparkSession.createDataFrame([(sum(weights), set(halves) <= {0, 1}, max(weights) <= cap, falls)], "weight long, in_range boolean, balanced boolean, cut_falls boolean")
 
 
-@_query(sql=", c AS (SELECT DISTINCT v // greatest(1, (SELECT count(*) FROM verts) // 200) AS c FROM verts) SELECT count(*) AS covered, true AS in_range FROM c")
+@_query(sql=_PART_SQL)
 def recursive_bisection(g):
-    coarse, _ = _coarsest(g)
-    parts = control.bisections(coarse, 8, _options(), 1)
-    one = settled(parts.where("pid = 0"))
-    return one.agg(F.count("*").alias("covered"), F.bool_and((F.col("part") >= 0) & (F.col("part") < 8)).alias("in_range"))
+    """Eight parts of the coarsest graph, carried to the vertices: all within the cap, and 5 % below what dealing out by number cuts."""
+    levels, matches = _across(g, 8)
+    found = settled(control.bisections(levels[-1], 8, Options({"number-of-parts": 8}), 1))
+    best = S.keep_best(A.cuts(levels[-1], found).select("pid", F.col("k1_cut").alias("cut"))).first()
+    parts = found.where(F.col("pid") == best.pid).select("v", "part")
+    for match in reversed(matches):
+        parts = settled(C.project(match, parts))
+    bound = A.k1_cut(g, modulo(g, 8)).first()[0]
+    return _part_facts(g, parts, best.cut, int(0.95 * bound), 8)
 
 
 @_query(sql=_PART_SQL)
 def kway_refine(g):
+    """Refined until the cut falls no more: at least 5 % below where it began."""
     g = control.settle(g)
     start = settled(modulo(g))
     cap, _ = A.cap_of(g, K, 0.05)
     bound = A.k1_cut(g, start).first()[0]
-    parts, cut = R.refine(g, start, K, cap, passes=1)
-    return _part_facts(g, parts, cut, bound)
+    parts, cut = R.refine(g, start, K, cap, least_gain=0)
+    return _part_facts(g, parts, cut, int(0.95 * bound))
 
 
 @_query(sql=_PART_SQL)
@@ -536,13 +542,14 @@ def balance_repair(g):
     cap, _ = A.cap_of(g, K, 0.05)
     skewed = g.verts.select("v", F.when(F.col("v") % 10 < 3, 1).when(F.col("v") % 10 < 5, 2).when(F.col("v") % 10 < 7, 3).otherwise(0).cast("long").alias("part"))
     parts = settled(R.relieve(g, settled(skewed), K, cap))
-    return _part_facts(g, parts, 0, 0)
+    cut = A.k1_cut(g, parts).first()[0]
+    return _part_facts(g, parts, cut, A.k1_cut(g, modulo(g)).first()[0])
 
 
 def _controlled(g: Hypergraph, mode: str) -> DataFrame:
-    bound = A.k1_cut(g, modulo(g)).first()[0]
-    found = control.partition(g, _options(refinement__v_cycles=mode, refinement__v_cycle_iteration_limit=1))
-    return _part_facts(g, found.parts, found.cut, bound)
+    """Default options, with one V-cycle where there are any: a cut a tenth below that of dealing out by number."""
+    found = control.partition(g, Options({"refinement.v-cycles": mode, "refinement.v-cycle-iteration-limit": 1}))
+    return _part_facts(g, found.parts, found.cut, int(0.9 * A.k1_cut(g, modulo(g)).first()[0]))
 
 
 @_query(sql=_PART_SQL)
@@ -562,7 +569,7 @@ def vcycle_all(g):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(v, part): H1 in four balanced parts."""
-    return control.partition(order_part(_tables(spark, sf_dir)), _options(refinement__v_cycles="off")).parts
+    return control.partition(order_part(_tables(spark, sf_dir)), Options({"refinement.v-cycles": "off"})).parts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@ import pytest
 
 from pinweave.plans import catalogue
 
-SLOW = {"vcycle_final", "vcycle_all", "kway_refine", "balance_repair", "hyperedge_match", "first_choice_match", "restrictive_match", "multilevel_partition"}
+SLOW = {"vcycle_final", "vcycle_all"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW))
