@@ -301,6 +301,8 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096, most_by
             held, n_bytes = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), schema.types, strict=True)], schema.names)
+    held = []
+    give_back()
 
 
 def describe(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -308,8 +310,7 @@ def describe(docs: DataFrame, n: int, t: Threshold) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("fine", pa.binary()), ("cells", pa.binary()), ("band", pa.int32()), ("spare", pa.list_(pa.int32()))])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(rows(batches), schema)
-        give_back()
+        return _batches(rows(batches), schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         seen: dict[int, tuple] = {}
@@ -364,6 +365,8 @@ def shared_cells(described: DataFrame) -> DataFrame:
                     keys, nodes, held = [], [], 0
         if held:
             yield rows(np.concatenate(keys), np.concatenate(nodes))
+        keys, nodes = [], []
+        give_back()
 
     def rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(key, kind="stable")
