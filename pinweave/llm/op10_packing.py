@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinweave.llm.tables import lean, table
-from pinweave.llm.tokens import encoder, vocabulary_path
+from pinweave.llm.tokens import BLOCK_BYTES, encoder, vocabulary_path
 from pinweave.storage import settled
 
 _PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, shard int, nth long"
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFram
         names = [x.split()[0] for x in _PIECES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
+    return lean(docs, BLOCK_BYTES).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, size: int = 1024) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pinweave.llm.tables import lean, table
-from pinweave.llm.tokens import encoder, vocabulary_path
+from pinweave.llm.tokens import BLOCK_BYTES, encoder, vocabulary_path
 from pinweave.storage import new_path, settled
 
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
@@ -55,7 +55,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end
                 start += int(ends[-1])
         code.rest()
 
-    rows = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = lean(docs, BLOCK_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]  # so rows without an id, or with one id, are dealt out too
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(encoded, SCHEMA).write.options(

@@ -19,16 +19,19 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-#: Bytes of rows that Spark hands to Python at once: long texts would otherwise come by 64 MB, in the JVM and in Python.
+#: Bytes of rows that Spark hands to Python at once, where a session has its own 64 MB: that would be held in the JVM and in Python.
 BATCH_BYTES = 4 << 20
+_SPARKS_OWN = 64 << 20
+_set: set[int] = {_SPARKS_OWN}
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """``df``, with batches to Python bounded to BATCH_BYTES in its session, where they were larger."""
+def lean(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """``df``, with batches to Python of ``most`` bytes from now on, unless its session names a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if int(re.sub(r"\D", "", conf.get(key))) == 64 << 20:
-        conf.set(key, str(BATCH_BYTES))
+    if int(re.sub(r"\D", "", conf.get(key))) in _set:
+        conf.set(key, str(most))
+        _set.add(most)
     return df
 
 
