@@ -56,8 +56,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end
         code.rest()
 
     rows = lean(docs, BLOCK_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ["doc_id", F.xxhash64("text")]  # so rows without an id, or with one id, are dealt out too
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # numbers deal out rows without an id, or with one id; the pass that looks for ranges reads no text
+    rows = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth").drop("nth")
     rows.mapInArrow(encoded, SCHEMA).write.options(
         **{
             "compression": "zstd",
