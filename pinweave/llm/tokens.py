@@ -16,6 +16,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pinweave.llm.tables import give_back
 LONGEST_KEPT = 32
 #: Pieces in one of the memo's two generations.
 GENERATION = 150_000
+#: Pieces that the memo keeps from one task to the next, some 8 MB.
+KEPT = 40_000
 #: Bytes of text that are split at once; a longer text makes a block of its own.
 BLOCK_BYTES = 16 << 20
 
@@ -84,8 +87,8 @@ class Encoder:
             at = to
 
     def rest(self) -> None:
-        """Give the memo's memory back at the end of a task."""
-        self.young, self.old = {}, {}
+        """Give most of the memo's memory back at the end of a task; the pieces that were met first are the most frequent ones, and stay."""
+        self.young, self.old = dict(islice(self.young.items(), KEPT)), {}
         give_back()
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
