@@ -526,12 +526,12 @@ def recursive_bisection(g):
 
 @_query(sql=_PART_SQL)
 def kway_refine(g):
-    """Refined until the cut falls no more: at least 5 % below where it began."""
+    """Refined until a pass hardly lowers the cut: at least 5 % below where it began."""
     g = control.settle(g)
     start = settled(modulo(g))
     cap, _ = A.cap_of(g, K, 0.05)
     bound = A.k1_cut(g, start).first()[0]
-    parts, cut = R.refine(g, start, K, cap, least_gain=0)
+    parts, cut = R.refine(g, start, K, cap)
     return _part_facts(g, parts, cut, int(0.95 * bound))
 
 
