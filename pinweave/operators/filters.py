@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinweave.functions.scalars import mixed
@@ -74,10 +74,15 @@ def keep_best(cuts: DataFrame) -> DataFrame:
     return cuts.orderBy("cut", "pid").limit(1)
 
 
+def visit_key(how: str = "random", seed: int = 0) -> Column:
+    """The key of a vertex (v, w) in an order of visits."""
+    keys = {"random": mixed(F.col("v"), seed), "increasing": F.col("v"), "decreasing": -F.col("v"), "increasing-weight": F.col("w"), "decreasing-weight": -F.col("w")}
+    return keys[how].cast("long")
+
+
 def visit_order(g: Hypergraph, how: str = "random", seed: int = 0) -> DataFrame:
     """(v, key): ascending (key, v) is the order of visits."""
-    keys = {"random": mixed(F.col("v"), seed), "increasing": F.col("v"), "decreasing": -F.col("v"), "increasing-weight": F.col("w"), "decreasing-weight": -F.col("w")}
-    return g.verts.select("v", keys[how].cast("long").alias("key"))
+    return g.verts.select("v", visit_key(how, seed).alias("key"))
 
 
 def hyperedge_order(g: Hypergraph) -> DataFrame:

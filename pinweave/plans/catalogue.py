@@ -23,8 +23,8 @@ from pinweave.operators import shuffles as U
 from pinweave.operators.model import Hypergraph, order_part, order_part_weighted, supplier_part
 from pinweave.plans import control
 from pinweave.plans.options import Options
-from pinweave.sources import text
-from pinweave.storage import settled
+from pinweave.sources import binary, text
+from pinweave.storage import scratch, settled
 
 K = 4
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,10 +253,7 @@ def run_summary(g):
 )
 def visit_orders(g):
     names = {"random": "random", "increasing": "increasing", "decreasing": "decreasing", "by_weight": "increasing-weight", "by_weight_desc": "decreasing-weight"}
-    out = g.verts.select("v")
-    for name, how in names.items():
-        out = out.join(S.visit_order(g, how, 7).withColumnRenamed("key", name), "v")
-    return out
+    return g.verts.select("v", *[S.visit_key(how, 7).alias(name) for name, how in names.items()])
 
 
 @_query(order_part_weighted, "SELECT e, w, len, len * 1000000 - w AS key FROM lens")
@@ -452,6 +449,102 @@ def matrix_market_lines(g):
     return text.matrix_market_lines(text.compact(g))
 
 
+@_query(
+    sql=_DENSE
+    + """, ce AS (SELECT DISTINCT a.v AS a, b.v AS b FROM dp a JOIN dp b ON a.e = b.e AND a.v < b.v)
+SELECT CAST(0 AS BIGINT) AS n, 'p edge ' || (SELECT count(*) FROM verts) || ' ' || (SELECT count(*) FROM ce) AS value
+UNION ALL SELECT a + 1, 'e ' || (a + 1) || ' ' || (b + 1) FROM ce"""
+)
+def dimacs_lines(g):
+    return text.dimacs_lines(text.compact(g))
+
+
+@_query(
+    supplier_part,
+    """SELECT CAST(0 AS BIGINT) AS n, (max(c) + 1) || ' ' || (max(r) + 1) || ' ' || count(*) AS value FROM cells
+UNION ALL SELECT i + 1, coalesce(string_agg(r, ' ' ORDER BY r), '') FROM range((SELECT max(c) + 1 FROM cells)) AS t(i) LEFT JOIN cells ON c = i GROUP BY i""",
+    top=_CELLS,
+)
+def matrix_text_lines(g):
+    cells = settled(_cells(g))
+    most = cells.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    return text.matrix_lines(cells, most.row + 1, most.col + 1)
+
+
+# Files are written to the shared folder and read back; hyperedges of one content are counted, as binary files don't keep their ids.
+_SHAPE = _DENSE + """, ds AS (SELECT e, w, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM dp GROUP BY e, w)
+SELECT 'e' AS kind, n, total, w, count(*) AS times FROM ds WHERE n >= {least} GROUP BY n, total, w
+UNION ALL SELECT 'v', 1, n, w, 1 FROM dv"""
+
+
+def _shape(g: Hypergraph) -> DataFrame:
+    sets = g.pins.groupBy("e").agg(F.count("*").alias("n"), F.sum("v").alias("total")).join(g.hedges, "e")
+    edges = sets.groupBy("n", "total", "w").agg(F.count("*").alias("times"))
+    one = F.lit(1).cast("long")
+    verts = g.verts.select(F.lit("v").alias("kind"), one.alias("n"), F.col("v").alias("total"), "w", one.alias("times"))
+    return edges.select(F.lit("e").alias("kind"), "n", "total", "w", "times").unionByName(verts)
+
+
+def _text_round_trip(name: str, lines: Callable, read: Callable, build: Callable = order_part_weighted) -> None:
+    @_query(build, _SHAPE.format(least=1), f"{name}_round_trip")
+    def round_trip(g):
+        spark = g.verts.sparkSession
+        path = scratch(spark, name)
+        text.save(lines(text.compact(g)), path)
+        return _shape(read(spark, path))
+
+
+_text_round_trip("hmetis", text.hmetis_lines, text.read_hmetis)
+_text_round_trip("patoh", text.patoh_lines, text.read_patoh)
+_text_round_trip("sandia", text.sandia_lines, text.read_sandia)
+_text_round_trip("matrix_market", text.matrix_market_lines, text.read_matrix_market, order_part)
+
+
+@_query(order_part_weighted, _SHAPE.format(least=2))
+def binary_round_trip(g):
+    spark = g.verts.sparkSession
+    path = scratch(spark, "graph") + "/g.bin"
+    binary.write_graph(text.compact(g), path)
+    return _shape(binary.read_graph(spark, path))
+
+
+@_query(order_part_weighted, _SHAPE.format(least=2))
+def shard_round_trip(g):
+    spark = g.verts.sparkSession
+    path = scratch(spark, "shards") + "/g"
+    binary.write_shards(text.compact(g), path, 5)
+    return _shape(binary.read_shards(spark, path))
+
+
+@_query(order_part_weighted, _DENSE + "SELECT CAST(sum((lam - 1) * w) AS BIGINT) AS k1_cut FROM (SELECT e, w, count(DISTINCT v % 4) AS lam FROM dp GROUP BY e, w)")
+def partition_file_cut(g):
+    """A partition vector, written and scored."""
+    dense, spark = text.compact(g), g.verts.sparkSession
+    path = scratch(spark, "vector") + "/g.part.4"
+    binary.write_vector(modulo(dense), path)
+    return spark.createDataFrame([(binary.score_partition(dense, spark, path),)], "k1_cut long")
+
+
+@_query(order_part_weighted, _DENSE + "SELECT n AS v, n * 7 % 5 AS target, row_number() OVER (PARTITION BY n * 7 % 5 ORDER BY n) - 1 AS n FROM dv")
+def prescribed_shuffle(g):
+    """Vertices where a written vector prescribes."""
+    dense, spark = text.compact(g), g.verts.sparkSession
+    path = scratch(spark, "vector") + "/g.part.5"
+    binary.write_vector(dense.verts.select("v", (F.col("v") * 7 % 5).alias("part")), path)
+    return U.numbered(U.dealt(U.prescribed(dense, binary.read_partition(spark, path))))
+
+
+@_query(order_part_weighted, ", src AS (SELECT w AS x, w AS y, v AS id FROM verts)" + _PERCENTILES.replace(" AS p95", " AS p95, CAST(coalesce(min(CASE WHEN before > 90 * total / 100 THEN x END), max(x)) AS BIGINT) AS p90"))
+def describe_weights(g):
+    """The printer's figures of vertex weights."""
+    return A.describe(g).select(F.round("weight_avg", 9).alias("avg"), *[F.col(f"weight_{c}").alias(c) for c in ("max", "p25", "p50", "p75", "p90", "p95")])
+
+
+@_query(supplier_part, "SELECT count(*) AS zero_diagonals FROM (SELECT r FROM cells GROUP BY r HAVING NOT bool_or(r = c))", top=_CELLS)
+def zero_diagonals(g):
+    return A.describe(g, matrix_rows=_cells(g)).select("zero_diagonals")
+
+
 # -- iterative algorithms -----------------------------------------------------
 
 

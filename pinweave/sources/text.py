@@ -140,12 +140,12 @@ def zero_weight_vertices(g: Hypergraph) -> DataFrame:
 
 
 def compact(g: Hypergraph) -> Hypergraph:
-    """The same graph with ids 0..V-1 and 0..E-1, as files need them."""
+    """The same graph with ids 0..V-1 and 0..E-1, as files need them, as written tables."""
     v, e = dense_ids(g.verts.select("v")), dense_ids(g.hedges.select("e"))
     verts = g.verts.join(v.toDF("v", "n"), "v").select(F.col("n").alias("v"), "w")
     hedges = g.hedges.join(e.toDF("e", "n"), "e").select(F.col("n").alias("e"), "w")
     pins = g.pins.join(v.toDF("v", "nv"), "v").join(e.toDF("e", "ne"), "e").select(F.col("ne").alias("e"), F.col("nv").alias("v"))
-    return Hypergraph(verts, hedges, pins)
+    return Hypergraph(verts, hedges, pins).map(settled)
 
 
 def _edge_lines(g: Hypergraph, base: int) -> DataFrame:

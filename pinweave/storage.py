@@ -36,6 +36,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pinweave-{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """Such a path for other files than settled tables, which ``sweep`` deletes as well."""
+    path = new_path(spark, name)
+    _written.add(path)
+    return path
+
+
 def settled(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -43,8 +50,7 @@ def settled(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     every column becomes nullable.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    _written.add(path)
+    path = scratch(spark, name)
     df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path

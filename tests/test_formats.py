@@ -3,6 +3,8 @@ import pytest
 
 from pinweave.operators.filters import drop_singletons
 from pinweave.operators.model import hypergraph
+from pinweave.plans.options import Options, from_ini
+from pinweave.plans.run import run
 from pinweave.sources import binary, text
 
 
@@ -122,3 +124,18 @@ def test_dimacs(spark):
     pins = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 1), (1, 2)], "e long, v long")
     found = [r.value for r in text.dimacs_lines(hypergraph(pins)).orderBy("n", "value").collect()]
     assert found == ["p edge 3 3", "e 1 2", "e 1 3", "e 2 3"]
+
+
+def test_run_by_options(spark, tmp_path):
+    pins = spark.createDataFrame([(e, v) for e in range(60) for v in (e % 40, (e * 7 + 1) % 40, (e // 2) % 40)], "e long, v long")
+    g = hypergraph(pins, spark.range(40).selectExpr("id AS v", "1 AS w"))
+    binary.write_shards(g, str(tmp_path / "g"), 3)
+    ini = "hypergraph = {0}/g\nnumber-of-parts = 2\nwrite-partitions-to-file = true\ndisplay-info = true\ndisplay-progress = {1}\noutput-to-file = true\noutput-file = {0}/log-{1}\n[refinement]\nv-cycles = off\n"
+    for progress in ("true", "false"):
+        found = run(spark, Options(from_ini(ini.format(tmp_path, progress))))
+        assert binary.score_partition(g, spark, str(tmp_path / "g.part.2")) == found.cut
+        lines = (tmp_path / f"log-{progress}").read_text().splitlines()
+        assert sum("plans.run: graph" in x for x in lines) == sum("plans.run: cuts" in x for x in lines) == 1
+        assert any("plans.control: run 0" in x for x in lines) == (progress == "true")
+    with pytest.raises(ValueError):
+        run(spark, Options())
