@@ -26,6 +26,8 @@ from pinweave.llm.tables import give_back
 
 #: Longer pieces are not kept in the memo, as they hardly repeat.
 LONGEST_KEPT = 32
+#: Longer runs of marks are not kept.
+LONGEST_MARK = 4
 #: Pieces in one of the memo's two generations.
 GENERATION = 150_000
 #: Pieces that the memo keeps from one task to the next, some 8 MB.
@@ -35,6 +37,8 @@ BLOCK_BYTES = 16 << 20
 
 #: One pre-token under every vocabulary here: normal form and lower case change each letter alone.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Marks behind a letter, which no vocabulary here joins to letters; none of them is part of a special string.
+_MARKS = ".,;:!?#*$%&"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -102,12 +106,14 @@ class Encoder:
         pieces = words.dictionary.to_pylist()
         which = words.indices.to_numpy(zero_copy_only=False)
         coded, odd = list(map(self.young.get, pieces)), np.zeros(len(pieces), bool)
-        for i, (x, known) in enumerate(zip(pieces, coded, strict=True)):
-            if known is None:
-                if (core := x[1:] if x and x[0] in "\r\n" else x).split() == [core]:
-                    coded[i] = self._piece(x)
-                else:
-                    coded[i], odd[i] = b"", True
+        for i in [i for i, known in enumerate(coded) if known is None]:
+            x = pieces[i]
+            if known := self.old.get(x):
+                coded[i] = self.young[x] = known
+            elif (core := x[1:] if x and x[0] in "\r\n" else x).split() == [core]:
+                coded[i] = self._piece(x)
+            else:
+                coded[i], odd[i] = b"", True
         if len(self.young) > GENERATION:
             self.old, self.young = self.young, {}
         width = self.dtype.itemsize
@@ -134,9 +140,9 @@ class Encoder:
         return known
 
     def _parted(self, piece: str) -> bytes:
-        """A line end before a word, and a mark after a letter, are tokens of their own."""
-        if piece[-1] in ".," and len(piece) > 1 and piece[-2].isalpha():
-            return self._piece(piece[:-1]) + self._mark(piece[-1])
+        """A line end before a word, and marks after a letter, are tokens of their own."""
+        if piece[-1] in _MARKS and (word := piece.rstrip(_MARKS)) and word[-1].isalpha():
+            return self._piece(word) + self._mark(piece[len(word) :])
         if piece[0] not in "\r\n":
             return self._encoded(piece, " ") if self.keeps_blanks else self._encoded(piece, "")
         if piece[0] == "\r" or not self.keeps_blanks:
@@ -144,9 +150,11 @@ class Encoder:
         return self._mark("\n") + self._encoded(piece[1:], "")
 
     def _mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = self._encoded(mark, "")
-        return self.marks[mark]
+        if (known := self.marks.get(mark)) is None:
+            known = self._encoded(mark, "")
+            if len(mark) <= LONGEST_MARK:
+                self.marks[mark] = known
+        return known
 
     def _encoded(self, word: str, before: str) -> bytes:
         """The library's ids. A plain word is one pre-token and goes straight to the library's model."""
