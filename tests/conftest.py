@@ -45,7 +45,9 @@ def compare(spark):
         def plain(x):
             x = x[columns].copy()
             for c in columns:
-                if x[c].dtype.kind == "f":
+                if x[c].dtype.kind == "f" and (x[c].dropna() % 1 == 0).all():  # whole numbers with nulls among them
+                    x[c] = x[c].astype("Int64")
+                elif x[c].dtype.kind == "f":
                     x[c] = x[c].round(6)
             return x.astype(str).sort_values(columns).reset_index(drop=True)
 
