@@ -46,18 +46,6 @@ def length_limit_filter(g: Hypergraph) -> Hypergraph:
     return _only(g, edge_lengths(g).where(2 * F.col("len") < most))
 
 
-def shortest(g: Hypergraph, most_pins: int) -> Hypergraph:
-    """The shortest hyperedges, with ``most_pins`` pins at most; of the last length, those whose hash is lowest.
-
-    Pins are summed by (length, slice of the hash), a table that does not grow with the graph's hyperedges.
-    """
-    lens = edge_lengths(g).withColumn("slice", (mixed(F.col("e"), 3) % 1024).cast("long"))
-    sums = lens.groupBy("len", "slice").agg(F.sum("len").alias("pins"))
-    upto = sums.select("len", "slice", F.sum("pins").over(Window.orderBy("len", "slice")).alias("upto")).where(F.col("upto") <= most_pins)
-    last = upto.agg(F.max(F.struct("len", "slice")).alias("x")).first().x
-    return _only(g, lens.where(F.lit(False) if last is None else F.struct("len", "slice") <= F.struct(F.lit(last["len"]).cast("long").alias("len"), F.lit(last["slice"]).alias("slice"))))
-
-
 def prune_partitions(cuts: DataFrame, threshold: float) -> DataFrame:
     """(pid, cut) with a cut up to best + floor(best * threshold), the first of equal cuts, renumbered as new_pid.
 

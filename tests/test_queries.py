@@ -2,10 +2,8 @@ import pytest
 
 from pinweave.plans import catalogue
 
-SLOW = {"vcycle_final", "vcycle_all"}
 
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_matches_its_sql(compare, name):
     compare(name)
 
