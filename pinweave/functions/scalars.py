@@ -48,11 +48,6 @@ def permutation(n: int, seed: int = 0) -> list[int]:
     return sorted(range(n), key=lambda v: ((v * 1103515245 + 12345 + seed) % 2147483648, v))
 
 
-def pin_hash(pins: Column) -> Column:
-    """A hash of a pin list; only equality of lists matters."""
-    return F.xxhash64(F.array_sort(pins))
-
-
 def numbers(line: str) -> list[int]:
     """The unsigned integers of a text line; what follows a % is a comment."""
     return [int(x) for x in re.findall(r"\d+", line.split("%", 1)[0])]

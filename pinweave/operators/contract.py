@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pinweave.operators.filters import drop_singletons
 from pinweave.operators.model import Hypergraph
+from pinweave.storage import settled
 
 
 def cluster_weights(g: Hypergraph, match: DataFrame) -> DataFrame:
@@ -14,17 +15,31 @@ def cluster_weights(g: Hypergraph, match: DataFrame) -> DataFrame:
     return g.verts.join(match, "v").groupBy("c").agg(F.sum("w").alias("w")).select(F.col("c").alias("v"), "w")
 
 
-def contract(g: Hypergraph, match: DataFrame) -> Hypergraph:
+def contract(g: Hypergraph, match: DataFrame, bits: int = 64) -> Hypergraph:
     """The coarse graph of match (v, c): pins mapped, hyperedges of one pin dropped, equal ones merged with summed weight.
 
-    Equal pin sets are found by their size, their ends and two sums of hashes of different seeds (128 bits),
-    aggregated on both sides of the exchange, so a long hyperedge is never one
-    row. A merged hyperedge keeps the smallest id.
+    Hyperedges that may be equal agree in size, ends and two sums of hashes (of so many ``bits``), aggregated on both sides of
+    the exchange, so a long hyperedge is never one row. Those are compared pin by pin with the first of
+    them, and what differs from it among itself, until nothing is left. A merged hyperedge keeps the smallest id.
     """
-    pins = g.pins.join(match, "v").select("e", F.col("c").alias("v")).distinct()
-    sets = pins.groupBy("e").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.bit_xor(F.xxhash64("v")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "v")).alias("h2"), F.max("v").alias("hi")).where("n > 1")
-    merged = sets.join(g.hedges, "e").groupBy("n", "lo", "hi", "h1", "h2").agg(F.min("e").alias("e"), F.sum("w").alias("w")).select("e", "w")
-    return Hypergraph(cluster_weights(g, match), merged, pins.join(merged.select("e"), "e", "left_semi"))
+    pins = settled(g.pins.join(match, "v").select("e", F.col("c").alias("v")).distinct(), "pins")
+    mask = F.lit((1 << bits) - 1 if bits < 64 else -1)
+    sums = [F.bit_xor(F.xxhash64(*x)).bitwiseAND(mask).alias(f"h{i}") for i, x in enumerate((["v"], [F.lit(1), "v"]))]
+    key = ["n", "lo", "hi", "h0", "h1"]
+    sets = pins.groupBy("e").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), *sums).where("n > 1")
+    left, merged = settled(sets, "sets"), None
+    while True:
+        first = settled(left.join(left.groupBy(*key).agg(F.min("e").alias("first")), key), "groups")
+        rest = first.where("e <> first")
+        shared = pins.join(rest.select("e", "n", "first"), "e").join(pins.select(F.col("e").alias("first"), "v"), ["first", "v"])
+        equal = settled(shared.groupBy("e", "first", "n").agg(F.count("*").alias("both")).where("both = n").select("e", "first"), "equal")
+        own = equal.unionByName(first.where("e = first").select("e", "first"))
+        merged = own if merged is None else merged.unionByName(own)
+        left = settled(rest.drop("first").join(equal.select("e"), "e", "left_anti"), "sets")
+        if left.isEmpty():
+            break
+    hedges = merged.join(g.hedges, "e").groupBy(F.col("first").alias("e")).agg(F.sum("w").alias("w"))
+    return Hypergraph(cluster_weights(g, match), hedges, pins.join(merged.where("e = first").select("e"), "e", "left_semi"))
 
 
 def project(match: DataFrame, parts: DataFrame) -> DataFrame:
@@ -50,13 +65,6 @@ def clique_edges(g: Hypergraph) -> DataFrame:
     return g.pins.withColumnRenamed("v", "a").join(other, "e").where("a < b").select("a", "b").distinct()
 
 
-def block_owners(g: Hypergraph, blocks: int) -> DataFrame:
-    """(v, owner): contiguous blocks of V / blocks vertex ids, the remainder on the last; a range lookup by arithmetic."""
-    n = g.verts.count()
-    size = max(1, n // blocks)
-    return g.verts.select("v", F.least(F.floor(F.col("v") / size), F.lit(blocks - 1)).cast("long").alias("owner"))
-
-
 def range_lookup(keys: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
     """keys(v) joined to ranges(lo, hi, owner), lo <= v < hi, by buckets of ``width`` ids: an equi-join, however many ranges."""
     spread = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinweave.functions.scalars import mixed
+from pinweave.operators.filters import visit_key
 from pinweave.operators.metrics import edge_lengths
 from pinweave.operators.model import Hypergraph
-from pinweave.storage import settled
+from pinweave.storage import discard, settled
 
 
 def scores(g: Hypergraph, metric: int = 0, parts: DataFrame | None = None) -> DataFrame:
@@ -43,61 +44,78 @@ def best_matches(scored: DataFrame, cap: int | None = None) -> DataFrame:
 SLICES = 32
 
 
-def accept(proposals: DataFrame, room: DataFrame) -> DataFrame:
-    """(seeker, host) of proposals (seeker, host, w, score) that fit the host's room, best score first.
+def accept(proposals: DataFrame, room: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """(seeker, host) of proposals (seeker, host, w, score) that fit the host's room, in ``order``: best score first, unless it is given.
 
     In each slice of a host's seekers, those behind more weight than its room
     can't be accepted; so of a hub's seekers few are left for the sum over all.
     """
     known = proposals.join(room, "host").withColumn("slice", mixed(F.col("seeker"), 17) % SLICES)
-    order = [F.desc("score"), "seeker"]
+    order = [*(order or [F.desc("score")]), F.col("seeker")]
     ahead = F.sum("w").over(Window.partitionBy("host", "slice").orderBy(*order)) - F.col("w")
     few = known.withColumn("ahead", ahead).where("ahead <= room")
     return few.withColumn("sum", F.sum("w").over(Window.partitionBy("host").orderBy(*order))).where("sum <= room").select("seeker", "host")
 
 
-def loose_match(g: Hypergraph, cap: int, parts: DataFrame | None = None) -> DataFrame:
-    """(v, c): vertices in no hyperedge of two pins go together under the cap, by chance; all others stay alone."""
-    held = edge_lengths(g).where("len > 1").select("e")
-    alone = g.verts.join(g.pins.join(held, "e").select("v").distinct(), "v", "left_anti")
-    alone = alone.withColumn("part", F.lit(0).cast("long")) if parts is None else alone.join(parts.select("v", "part"), "v")
-    total = alone.agg(F.sum("w")).first()[0] or 0
-    dealt = alone.withColumn("bucket", mixed(F.col("v"), 29) % max(1, -(-2 * total // max(1, cap))))
-    upto = F.sum("w").over(Window.partitionBy("part", "bucket").orderBy("w", "v"))
-    together = settled(dealt.withColumn("upto", upto).where(F.col("upto") <= cap).select("part", "bucket", "v"), "loose")
-    first = together.groupBy("part", "bucket").agg(F.min("v").alias("c"))
-    return g.verts.select("v").join(together.join(first, ["part", "bucket"]).select("v", "c"), "v", "left").select("v", F.coalesce("c", "v").alias("c"))
+def replies(proposals: DataFrame, room: DataFrame, cap: int, order: list[Column] | None = None) -> DataFrame:
+    """(seeker, c): seekers that their hosts take in, and clusters of those that one host turns away, two or more, under the cap."""
+    taken = settled(accept(proposals, room, order), "accepted")
+    away = proposals.join(taken.select("seeker"), "seeker", "left_anti")
+    left = accept(away, away.select("host", F.lit(cap).cast("long").alias("room")).distinct(), order)
+    own = left.groupBy("host").agg(F.min("seeker").alias("c"), F.count("*").alias("n")).where("n > 1").select("host", "c")
+    return taken.select("seeker", F.col("host").alias("c")).unionByName(left.join(own, "host").select("seeker", "c"))
 
 
-def first_choice(g: Hypergraph, cap: int, ratio: float = 1.75, metric: int = 0, parts: DataFrame | None = None, seed: int = 1) -> DataFrame:
-    """(v, c): clusters by rounds of first choice; c is the smallest-id host of the cluster.
+def requests(scored: DataFrame, match: DataFrame, cap: int, seeks: Column) -> tuple[DataFrame, DataFrame]:
+    """(proposals, room): each free vertex that ``seeks`` asks the cluster of its best neighbour that does not seek and has room for it.
 
-    Each round a seeded bit splits the free vertices into seekers and hosts, so
-    no chain forms. A seeker proposes to the cluster of its best neighbour;
-    clusters accept by score while their weight stays under the cap. Rounds end
-    when vertices / clusters exceeds ``ratio`` or four of them in a row had nothing to accept.
+    ``match`` has v, c (null while free) and w. Seekers are (seeker, host, w, score), room is (host, room).
+    """
+    state = match.withColumn("seeks", F.col("c").isNull() & seeks)
+    host = state.where("NOT seeks").select(F.col("v").alias("u"), F.coalesce("c", "v").alias("host"), "w")
+    room = host.groupBy("host").agg((F.lit(cap) - F.sum("w")).alias("room"))
+    seekers = state.where("seeks").select(F.col("v").alias("seeker"), "w")
+    wanted = scored.select(F.col("v").alias("seeker"), "u", "score").join(seekers, "seeker").join(host.select("u", "host"), "u").join(room, "host").where("w <= room")
+    best = wanted.groupBy("seeker", "w").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("u"), F.col("host"))).alias("b"))
+    return best.select("seeker", F.col("b.host").alias("host"), "w", (-F.col("b.s")).alias("score")), room
+
+
+def first_choice(g: Hypergraph, cap: int, ratio: float = 1.75, metric: int = 0, parts: DataFrame | None = None, seed: int = 1, visits: str = "random", random_replies: bool = False) -> DataFrame:
+    """(v, c): clusters by rounds of first choice; c is a vertex of the cluster.
+
+    A round has two phases of requests and replies. A seeded bit splits the vertices: those of one side
+    ask those of the other, and then the other way round, so no chain forms. A host takes seekers in
+    while its cluster is under the cap: best score first and equal scores by ``visits``, or at random with
+    ``random_replies``. Seekers that one host turns away make a cluster of their own. Rounds end
+    when vertices / clusters exceeds ``ratio`` or two of them in a row changed nothing.
     """
     scored = settled(scores(g, metric, parts).where("score > 0"), "scores")
     match = settled(g.verts.select("v", F.lit(None).cast("long").alias("c"), "w"), "match")
     n, idle = match.count(), 0
     for i in count():
-        seeks = F.col("c").isNull() & ((F.floor(mixed(F.col("v"), seed * 7919 + i * 104729) / 64) % 2) == 0)
-        state = match.withColumn("seeks", seeks)
-        host = state.where("NOT seeks").select(F.col("v").alias("u"), F.coalesce("c", "v").alias("host"))
-        weights = match.where("c IS NOT NULL").groupBy(F.col("c").alias("host")).agg(F.sum("w").alias("held"))
-        room = host.select("host").distinct().join(weights, "host", "left").join(g.verts.select(F.col("v").alias("host"), "w"), "host")
-        room = room.select("host", (F.lit(cap) - F.coalesce("held", "w")).alias("room"))
-        seekers = state.where("seeks").select(F.col("v").alias("seeker"), "w")
-        wanted = scored.select(F.col("v").alias("seeker"), "u", "score").join(seekers, "seeker").join(host, "u").join(room, "host").where("w <= room")
-        best = wanted.groupBy("seeker", "w").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("u"), F.col("host"))).alias("b"))
-        proposals = best.select("seeker", F.col("b.host").alias("host"), "w", (-F.col("b.s")).alias("score"))
-        taken = settled(accept(proposals, room), "accepted")
-        joined = taken.select(F.col("seeker").alias("v"), F.col("host").alias("to")).unionByName(taken.select(F.col("host").alias("v"), F.col("host").alias("to")).distinct())
-        match = settled(match.join(joined, "v", "left").select("v", F.coalesce("c", "to").alias("c"), "w"), "match")
-        left, hits = match.select(F.coalesce("c", "v").alias("c")).distinct().count(), taken.count()
+        hits = 0
+        for side in (0, 1):
+            seeks = (F.floor(mixed(F.col("v"), seed * 7919 + i * 104729) / 64) % 2) == side
+            proposals, room = requests(scored, match, cap, seeks)
+            if random_replies:
+                order = [mixed(F.col("seeker"), seed + i)]
+            else:
+                proposals = proposals.withColumn("v", F.col("seeker"))
+                order = [F.desc("score"), visit_key(visits, seed + i)]
+            taken = settled(replies(settled(proposals, "proposals"), room, cap, order), "replies")
+            joined = taken.select(F.col("seeker").alias("v"), F.col("c").alias("to")).unionByName(taken.select(F.col("c").alias("v"), F.col("c").alias("to"))).distinct()
+            before, match = match, settled(match.join(joined, "v", "left").select("v", F.coalesce("c", "to").alias("c"), "w"), "match")
+            left = match.select(F.coalesce("c", "v").alias("c")).distinct().count()
+            hits += taken.count()
+            drop = left == 0 or n / left >= ratio
+            discard(before)
+            discard(taken)
+            if drop:
+                break
         idle = 0 if hits else idle + 1
-        if idle == 4 or left == 0 or n / left >= ratio:
+        if idle == 2 or drop:
             break
+    discard(scored)
     return match.select("v", F.coalesce("c", "v").alias("c"))
 
 

@@ -296,6 +296,23 @@ def restrictive_best_match(g):
     return M.best_matches(M.scores(g, 2, modulo(g))).withColumn("score", F.round("score", 6))
 
 
+@_query(
+    order_part_weighted,
+    _scores_sql(2)
+    + """, own AS (SELECT s.v AS seeker, s.u AS host, s.score, a.w, 90 - b.w AS room FROM score s JOIN verts a ON a.v = s.v JOIN verts b ON b.v = s.u WHERE s.v % 2 = 0 AND s.u % 2 = 1 AND a.w <= 90 - b.w),
+asked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seeker ORDER BY score DESC, host) AS n FROM own) WHERE n = 1),
+run AS (SELECT *, sum(w) OVER (PARTITION BY host ORDER BY score DESC, seeker) <= room AS taken FROM asked),
+away AS (SELECT *, sum(w) OVER (PARTITION BY host ORDER BY score DESC, seeker) AS upto FROM run WHERE NOT taken),
+left_ AS (SELECT *, min(seeker) OVER (PARTITION BY host) AS c, count(*) OVER (PARTITION BY host) AS m FROM away WHERE upto <= 90)
+SELECT seeker, host AS c, true AS accepted FROM run WHERE taken UNION ALL SELECT seeker, c, false FROM left_ WHERE m > 1""",
+)
+def match_requests(g):
+    """One phase of requests and replies: even vertices ask their best odd neighbours, whose clusters may weigh 90; those turned away by one host join each other."""
+    match = settled(g.verts.select("v", F.lit(None).cast("long").alias("c"), "w"), "match")
+    proposals, room = M.requests(M.scores(g, 2), match, 90, F.col("v") % 2 == 0)
+    return M.replies(settled(proposals, "proposals"), room, 90).select("seeker", "c", (F.col("c") % 2 == 1).alias("accepted"))
+
+
 # -- contraction and projection -----------------------------------------------
 
 _COARSE = """, coarse AS (SELECT DISTINCT e, v // 10 AS c FROM pins),
@@ -368,6 +385,21 @@ def random_shuffle(g):
     return U.numbered(U.dealt(U.shuffled(g, 5, 3)))
 
 
+@_query(
+    order_part_weighted,
+    """, loose AS (SELECT v, w FROM verts WHERE v % 5 = 0), kept AS (SELECT v, w, v % 3 AS part FROM verts WHERE v % 5 <> 0),
+room AS (SELECT p.part, greatest(0, (SELECT floor(sum(w) / 4.0 * 1.05) FROM verts) - coalesce(sum(w), 0)) AS room FROM range(4) AS p(part) LEFT JOIN kept ON kept.part = p.part GROUP BY p.part),
+stretch AS (SELECT part, sum(room) OVER (ORDER BY part) AS upto, sum(room) OVER () AS total FROM room),
+line AS (SELECT v, sum(w) OVER (ORDER BY w DESC, v) - w AS at, (SELECT sum(w) FROM loose) AS weight FROM loose)
+SELECT v, part FROM kept UNION ALL SELECT v, least(3, (SELECT count(*) FROM stretch WHERE upto * line.weight <= line.at * total)) FROM line""",
+)
+def isolated_fill(g):
+    """Vertices without a hyperedge (here those that 5 divides) dealt into the room that the others' parts leave."""
+    cap, _ = A.cap_of(g, K, 0.05)
+    parts = g.verts.where("v % 5 <> 0").select("v", (F.col("v") % 3).alias("part"))
+    return U.filled(g, parts, K, cap)
+
+
 @_query(sql="SELECT v, part // 2 AS target, row_number() OVER (PARTITION BY part // 2 ORDER BY v) - 1 AS n FROM parts")
 def shuffle_by_partition(g):
     return U.numbered(U.dealt(U.by_part(modulo(g), K, 2)))

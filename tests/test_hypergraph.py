@@ -74,6 +74,29 @@ def test_contract_keeps_unlike_hyperedges(spark, g):
     assert sorted((tuple(r.p), r.w) for r in sets) == [((0, 1), 1), ((0, 3), 1), ((1, 2), 2), ((2, 3), 1)]
 
 
+@pytest.mark.parametrize("bits", [1, 64])
+def test_equal_hyperedges_are_told_from_equal_hashes(spark, bits):
+    """With hashes of one bit, unlike hyperedges of one size and ends share a group, and equal ones among them must still meet."""
+    sets = [[0, 1, 9], [0, 2, 9], [0, 3, 9], [0, 1, 9], [0, 2, 9], [0, 4, 9], [0, 2, 9], [5, 6]]
+    pins = spark.createDataFrame([(e, v) for e, p in enumerate(sets) for v in p], "e long, v long")
+    g = hypergraph(pins)
+    coarse = C.contract(g, g.verts.select("v", F.col("v").alias("c")), bits=bits)
+    assert _rows(coarse.hedges) == [(0, 2), (1, 3), (2, 1), (5, 1), (7, 1)]
+    assert _rows(coarse.pins.groupBy("e").count()) == [(0, 3), (1, 3), (2, 3), (5, 3), (7, 2)]
+
+
+@pytest.mark.parametrize("random_replies", [False, True])
+def test_match_in_an_order(g, random_replies):
+    clusters = M.first_choice(g, 2, metric=2, visits="decreasing-weight", random_replies=random_replies).collect()
+    assert sorted(r.v for r in clusters) == list(range(6)) and len({r.c for r in clusters}) >= 3
+
+
+def test_seekers_that_one_host_turns_away(spark):
+    proposals = spark.createDataFrame([(s, 100, 2, 1.0 / s) for s in range(1, 6)] + [(9, 200, 5, 1.0)], "seeker long, host long, w long, score double")
+    room = spark.createDataFrame([(100, 4), (200, 4)], "host long, room long")
+    assert _rows(M.replies(proposals, room, 5)) == [(1, 100), (2, 100), (3, 3), (4, 3)]
+
+
 def test_scores(g):
     found = {r.u: r.score for r in M.scores(g, 2).where("v = 2").collect()}
     assert found == {0: 0.5, 1: 0.5, 3: 2.0}
