@@ -8,6 +8,8 @@ the latent space. The labelled vectors, ``SAMPLE_DOCS`` times ``DIMENSIONS``
 numbers at most, go to every task. Each task computes the cosines of a block of
 documents with all of them, takes the ``NEIGHBOURS`` nearest exactly, with all
 that are as near as the last of these, and weighs their labels by similarity.
+Vectors are rounded to whole numbers before they are multiplied, and the sums are exact
+in double precision; so a score does not depend on the block that a document is in.
 
 The bound is a parameter: labelled documents outside the held-out fold, lowest
 by hash. Everything else covers all documents, whole.
@@ -44,6 +46,8 @@ SHARES = 7
 #: Length of a bin's coordinate beside all terms' length of 1.
 FORM = 0.6
 WIDTH = TERMS + BINS * SHARES
+#: Parts of 1 that entries of term vectors and axes, and of latent vectors, are rounded to. Sums of products of unit vectors stay below 2^53.
+GRID, FINE = 1 << 20, 1 << 24
 #: Texts and words that are counted at once.
 ROWS, WORDS = 512, 200_000
 
@@ -123,6 +127,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def project(terms: np.ndarray, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Latent vectors of length 1, each entry a whole number of parts of ``FINE``. Rows don't depend on each other."""
+    own = np.rint(_weighed(terms, idf).astype(np.float64) * GRID) @ np.rint(axes.astype(np.float64) * GRID)
+    return np.rint(_unit(own) * FINE) / FINE
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The latent space and labelled vectors of a bounded sample."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -145,21 +155,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     y = got["quality"].to_numpy()
     del got
     idf = (np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(0))) + 0.1).astype(np.float32)
-    x = _weighed(x, idf)
+    raw, x = x, _weighed(x, idf)
     # leading right singular vectors by subspace iteration
     q = np.linalg.qr(x.T @ np.random.default_rng(7).standard_normal((len(x), DIMENSIONS + 16), np.float32))[0]
     for _ in range(4):
         q = np.linalg.qr(x.T @ (x @ q))[0]
     axes = (q @ np.linalg.svd(x @ q, full_matrices=False)[2].T)[:, :DIMENSIONS].astype(np.float32)
-    return Model(idf, axes, _unit(x @ axes).astype(np.float32), y, float(y.mean()))
+    vectors = np.concatenate([project(raw[at : at + ROWS], idf, axes) for at in range(0, len(raw), ROWS)])
+    return Model(idf, axes, vectors, y, float(y.mean()))
 
 
 def score(model: Model, terms: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """The weighted vote of the nearest labelled vectors, for each row of ``terms``."""
     if not len(model.vectors):
         return np.full(len(terms), model.prior)
-    own = _unit(_weighed(terms, model.idf) @ model.axes).astype(np.float32)
-    similar = own @ model.vectors.T
+    similar = (project(terms, model.idf, model.axes) * FINE) @ np.rint(model.vectors.T * FINE) / FINE**2
     k = min(neighbours, similar.shape[1])
     last = np.partition(similar, similar.shape[1] - k, axis=1)[:, -k, None]
     row, near = np.nonzero(similar >= last)

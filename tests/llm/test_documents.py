@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,24 @@ def test_sql(compare):
 # -- quality classifier
 
 
+def test_scores_do_not_depend_on_blocks():
+    """Copies score alike bit by bit, in blocks of all sizes, and labelled copies are equally near."""
+    rng = np.random.default_rng(12)
+    terms = np.log1p(rng.poisson(0.2, (60, op1.WIDTH))).astype(np.float32)
+    terms[20:40] = terms[3]
+    axes = np.linalg.qr(rng.standard_normal((op1.WIDTH, 24)))[0].astype(np.float32)
+    idf = rng.random(op1.TERMS).astype(np.float32) + 0.1
+    vectors = op1.project(np.concatenate((terms[:30], terms[:30])), idf, axes)
+    model = op1.Model(idf, axes, vectors, rng.integers(0, 2, 60).astype(float), 0.5)
+    whole = op1.score(model, terms)
+    assert len(set(whole[20:40]) | {whole[3]}) == 1
+    for size in (1, 2, 3, 7, 16, 33):
+        parts = np.concatenate([op1.score(model, terms[i : i + size]) for i in range(0, 60, size)])
+        assert (parts == whole).all()
+    assert (op1.project(terms[5:6], idf, axes) == vectors[5]).all() and (vectors[:30] == vectors[30:]).all()
+
+
+
 def test_classifier_tells_held_out_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = op1.op1_quality_classifier(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
