@@ -143,9 +143,21 @@ def balance_warning(g):
     return A.balance_warning(g, K, 0.05)
 
 
-@_query(order_part_weighted, "SELECT true AS covered, true AS in_range, max(x) <= 1000000000 AS balanced FROM (SELECT sum(w) AS x FROM parts JOIN verts USING (v) GROUP BY part)")
+@_query(
+    order_part_weighted,
+    """, cap AS (SELECT floor(sum(w) / 4.0 * 1.05) AS cap FROM verts), odd AS (SELECT v, v % 5 - 1 AS part FROM verts WHERE v % 7 <> 0),
+cases AS (SELECT 0 AS kind, v, part FROM parts UNION ALL SELECT 1, v, part FROM odd UNION ALL SELECT 2, v, CASE WHEN v % 3 = 0 THEN 0 ELSE v % 4 END FROM verts),
+each AS (SELECT kind, v, w, count(part) AS n, min(part) AS lo, max(part) AS hi FROM (SELECT DISTINCT kind FROM cases) CROSS JOIN verts LEFT JOIN cases USING (kind, v) GROUP BY kind, v, w),
+heaviest AS (SELECT kind, max(x) AS x FROM (SELECT kind, part, sum(w) AS x FROM cases JOIN verts USING (v) WHERE part BETWEEN 0 AND 3 GROUP BY kind, part) GROUP BY kind)
+SELECT kind, bool_and(n = 1) AS covered, bool_and(lo >= 0 AND hi < 4) AS in_range, max(x) <= max(cap) AS balanced FROM each JOIN heaviest USING (kind) CROSS JOIN cap GROUP BY kind""",
+)
 def partition_validity(g):
-    return A.validity(g, modulo(g), K, 1_000_000_000)
+    """A sound partition, one with vertices that have no part or one out of range, and one that is lopsided."""
+    cap, _ = A.cap_of(g, K, 0.05)
+    odd = g.verts.where("v % 7 <> 0").select("v", (F.col("v") % 5 - 1).alias("part"))
+    lopsided = g.verts.select("v", F.when(F.col("v") % 3 == 0, 0).otherwise(F.col("v") % K).cast("long").alias("part"))
+    facts = [A.validity(g, parts, K, cap).select(F.lit(i).alias("kind"), "covered", "in_range", "balanced") for i, parts in enumerate((modulo(g), odd, lopsided))]
+    return facts[0].unionByName(facts[1]).unionByName(facts[2])
 
 
 @_query(

@@ -49,13 +49,19 @@ def _header(lines: DataFrame, least: int) -> list[int]:
     return found
 
 
+def _weights_option(given: list[int]) -> int:
+    """Which weights a file has: of hyperedges (1), of vertices (10) or both (11)."""
+    option = given[0] if given else 0
+    if option not in (0, 1, 10, 11):
+        raise ValueError(f"weights option {option} is none of 0, 1, 10, 11")
+    return option
+
+
 def read_hmetis(spark: SparkSession, path: str) -> Hypergraph:
     """``E V [opt]``; pins from 1; opt 1 hyperedge, 10 vertex, 11 both weights."""
     lines = settled(numbered_lines(spark, path), "hmetis")
     e, v, *opt = _header(lines, 2)
-    option = opt[0] if opt else 0
-    if option not in (0, 1, 10, 11):
-        raise ValueError(f"weights option {option} is none of 0, 1, 10, 11")
+    option = _weights_option(opt)
     return _graph(lines, v, e, 1, option in (1, 11), option in (10, 11))
 
 
@@ -63,7 +69,7 @@ def read_sandia(spark: SparkSession, path: str) -> Hypergraph:
     """``V E pins [opt]``; pins from 1; options as in hMeTiS."""
     lines = settled(numbered_lines(spark, path), "sandia")
     v, e, _, *opt = _header(lines, 3)
-    option = opt[0] if opt else 0
+    option = _weights_option(opt)
     return _graph(lines, v, e, 1, option in (1, 11), option in (10, 11))
 
 
