@@ -57,6 +57,9 @@ _TYPES = {
     "null": lambda x: x is None,
 }
 
+#: Characters of a text by which rows are dealt into ranges.
+BEGINNING = 64
+
 
 _LONE = re.compile("[\ud800-\udfff]")
 
@@ -185,7 +188,9 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict] | None = None) ->
                 nth.append(n)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:6]), pa.array([shard] * len(nth), pa.int32()), pa.array(nth, pa.int64())], columns)
 
-    placed = settled(every.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns[:6]).mapInArrow(numbered, out), "placed")
+    # whole texts would be sampled to the driver and kept as bounds; their beginnings part the rows in the same order
+    ranges = ["conv_id", F.col("anchor.turn"), F.col("anchor.role"), F.substring("anchor.text", 1, BEGINNING)]
+    placed = settled(every.repartitionByRange(*ranges).sortWithinPartitions(*keys).select(*columns[:6]).mapInArrow(numbered, out), "placed")
     counts = placed.groupBy("shard", "conv_id").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(F.col("shard").alias("_s"), F.col("conv_id").alias("_c"), before.alias("before")).where("before > 0")

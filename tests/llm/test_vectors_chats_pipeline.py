@@ -131,6 +131,21 @@ def test_chats_odd(spark):
     assert op8_chat_formatting.format_chats(_chat(spark, [])).count() == 0
 
 
+def test_texts_with_a_common_beginning(spark):
+    """Texts that differ behind their first characters are in order all the same, and so are results behind their calls."""
+    long = "x" * 200
+    rows = [(1, 0, "user", f"{long}{i % 7}{i}") for i in range(60)] + [(1, 0, "assistant", _call((str(i), "search", {"query": long + str(i)}))) for i in range(9)] + [(1, 0, "tool", json.dumps({"content": long, "tool_call_id": str(i)})) for i in range(9)]
+    found = op8_chat_formatting.format_chats(_chat(spark, rows).repartition(5)).orderBy("position").collect()
+    assert [r.position for r in found] == list(range(78))
+    assert [r.message for r in found if r.kind == "text"] == [json.dumps({"content": t, "role": "user"}, separators=(",", ":"), sort_keys=True) for t in sorted(x[3] for x in rows[:60])]
+    assert {r.status for r in found if r.role != "user"} == {"linked"}
+    at = {}
+    for r in found:
+        for i in [c["id"] for c in json.loads(r.message).get("tool_calls", [])] if r.kind == "call" else [json.loads(r.message)["tool_call_id"]] if r.kind == "result" else []:
+            at.setdefault(i, []).append((r.position, r.kind))
+    assert all([kind for _, kind in sorted(x)] == ["call", "result"] for x in at.values())
+
+
 def test_long_conversation(spark):
     rows = _chat(spark, [(1, i, "user", f"m{i}") for i in range(3000)] + [(2, i, "user", "x") for i in range(5)]).repartition(7)
     found = op8_chat_formatting.format_chats(rows).collect()
