@@ -672,13 +672,13 @@ def planted_halves(g):
 def recursive_bisection(g):
     """Eight parts of the coarsest graph, carried to the vertices: all within the cap, and 5 % below what dealing out by number cuts."""
     levels, matches = _across(g, 8)
-    found = settled(control.bisections(levels[-1], 8, Options({"number-of-parts": 8}), 1))
-    best = S.keep_best(A.cuts(levels[-1], found).select("pid", F.col("k1_cut").alias("cut"))).first()
-    parts = found.where(F.col("pid") == best.pid).select("v", "part")
+    state = B.recursive_bisection(levels[-1], 8, 0.05, runs=2)
+    best = min(state.cuts, key=lambda p: (state.cuts[p], p))
+    parts = state.parts.where(F.col("pid") == best).select("v", "part")
     for match in reversed(matches):
         parts = settled(C.project(match, parts))
     bound = A.k1_cut(g, modulo(g, 8)).first()[0]
-    return _part_facts(g, parts, best.cut, int(0.95 * bound), 8)
+    return _part_facts(g, parts, state.cuts[best], int(0.95 * bound), 8)
 
 
 @_query(sql=_PART_SQL)
