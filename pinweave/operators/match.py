@@ -14,20 +14,31 @@ from pinweave.operators.model import Hypergraph
 from pinweave.storage import discard, settled
 
 
+#: Pins of a hyperedge that meet as one key: longer ones are dealt into tiles, and each pair of tiles is a key.
+TILE = 1024
+
+
+def tiled(g: Hypergraph, each: DataFrame) -> DataFrame:
+    """Pins with the columns of ``each`` (e, len, ...), once for every tile that theirs meets: mine is their own, other the one met."""
+    tiles = F.ceil(F.col("len") / TILE).cast("int")
+    held = g.pins.join(each.withColumn("tiles", tiles).drop("len"), "e").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("tiles")).cast("int"))
+    return held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+
+
 def scores(g: Hypergraph, metric: int = 0, parts: DataFrame | None = None) -> DataFrame:
     """(v, u, score, pair_weight): how strongly two vertices share hyperedges.
 
     Metrics 0 and 1 add hyperedge weights, 2 and 3 the weights over (length - 1);
     1 and 3 divide by the pair's weight. With ``parts``, only pairs of one part.
     Pairs grow with the square of a hyperedge's length: drop long ones by
-    ``filters.percentile_filter`` first, as the coarsener does.
+    ``filters.percentile_filter`` first, as the coarsener does. Those that stay are split into tiles, so none is one task's.
     """
-    each = edge_lengths(g).where("len > 1").select("e", (F.col("w") / (F.col("len") - 1) if metric >= 2 else F.col("w").cast("double")).alias("s"))
-    a = g.pins.join(each, "e")
+    each = edge_lengths(g).where("len > 1").select("e", "len", (F.col("w") / (F.col("len") - 1) if metric >= 2 else F.col("w").cast("double")).alias("s"))
+    a = tiled(g, each)
     if parts is not None:
         a = a.join(parts.select("v", "part"), "v")
-    b = a.drop("s").withColumnRenamed("v", "u")
-    pairs = a.join(b, ["e"] if parts is None else ["e", "part"]).where("v <> u").groupBy("v", "u").agg(F.sum("s").alias("s"))
+    b = a.selectExpr("e", "v AS u", "other AS mine", "mine AS other", *(["part"] if parts is not None else []))
+    pairs = a.join(b, [c for c in ("e", "part", "mine", "other") if c in a.columns]).where("v <> u").groupBy("v", "u").agg(F.sum("s").alias("s"))
     pairs = pairs.join(g.verts.withColumnRenamed("w", "wv"), "v").join(g.verts.select(F.col("v").alias("u"), F.col("w").alias("wu")), "u")
     pair_weight = F.col("wv") + F.col("wu")
     return pairs.select("v", "u", F.round(F.col("s") / pair_weight if metric in (1, 3) else F.col("s"), 9).alias("score"), pair_weight.alias("pair_weight"))

@@ -104,6 +104,20 @@ def test_scores(g):
     assert M.best_matches(M.scores(g, 2)).where("v = 2").first().u == 3
 
 
+@pytest.mark.parametrize("in_parts", [False, True])
+def test_scores_of_tiles(spark, monkeypatch, in_parts):
+    """A hyperedge in tiles scores as it does whole, and no key holds more than its tiles' pairs."""
+    pins = spark.createDataFrame([(0, v) for v in range(90)] + [(1, v) for v in range(0, 90, 7)] + [(2, 3), (2, 5)], "e long, v long")
+    g = hypergraph(pins)
+    parts = g.verts.select("v", (F.col("v") % 2).alias("part")) if in_parts else None
+    whole = _rows(M.scores(g, 2, parts))
+    monkeypatch.setattr(M, "TILE", 8)
+    assert _rows(M.scores(g, 2, parts)) == whole
+    assert len(whole) == (90 * 89 if not in_parts else 2 * 45 * 44)
+    met = M.tiled(g, A.edge_lengths(g).select("e", "len")).groupBy("e", "mine", "other").count().agg(F.max("count")).first()[0]
+    assert met <= 24
+
+
 def test_gain_of_a_move(g, halves):
     assert A.move_gains(g, halves).where("v = 2 AND dst = 1").first().gain == 1
 
