@@ -130,17 +130,36 @@ def first_choice(g: Hypergraph, cap: int, ratio: float = 1.75, metric: int = 0,
     return match.select("v", F.coalesce("c", "v").alias("c"))
 
 
+def hyperedge_choices(g: Hypergraph, order: DataFrame, match: DataFrame) -> DataFrame:
+    """(v, wv, e, len): the short and heavy hyperedge that each free vertex chooses, of those in ``order`` (e, w, len)."""
+    free = match.where("c IS NULL").select("v", F.col("w").alias("wv"))
+    held = g.pins.join(order, "e").join(free, "v")
+    best = held.groupBy("v", "wv").agg(F.min(F.struct("len", (-F.col("w")).alias("nw"), "e")).alias("b"))
+    return best.select("v", "wv", F.col("b.e").alias("e"), F.col("b.len").alias("len"))
+
+
+def cluster_requests(g: Hypergraph, choice: DataFrame, match: DataFrame, cap: int) -> DataFrame:
+    """(v, to): vertices that are alone in choosing their hyperedge, taken in by an existing cluster of it.
+
+    They ask the cluster with the most room; clusters take them in while there is room, those of short hyperedges first.
+    """
+    alone = choice.groupBy("e").agg(F.count("*").alias("n"), F.min("v").alias("seeker"), F.min("wv").alias("w"), F.min("len").alias("len")).where("n = 1")
+    clusters = match.where("c IS NOT NULL")
+    room = clusters.groupBy(F.col("c").alias("host")).agg((F.lit(cap) - F.sum("w")).alias("room"))
+    near = g.pins.join(alone, "e").join(clusters.select("v", F.col("c").alias("host")), "v").join(room, "host").where("w <= room")
+    asked = near.groupBy("seeker", "w", "len").agg(F.min(F.struct((-F.col("room")).alias("full"), "host")).alias("b"))
+    return accept(asked.select("seeker", F.col("b.host").alias("host"), "w", (-F.col("len")).alias("score")), room).select(F.col("seeker").alias("v"), F.col("host").alias("to"))
+
+
 def hyperedge_match(g: Hypergraph, cap: int, ratio: float = 1.75) -> DataFrame:
-    """(v, c): short and heavy hyperedges merge the free vertices that chose them, two or more, under the cap."""
+    """(v, c): short and heavy hyperedges merge the free vertices that chose them, two or more, under the cap; a vertex that chose one alone may join a cluster of it."""
     order = settled(edge_lengths(g).where("len > 1"), "lengths")
     match = settled(g.verts.select("v", F.lit(None).cast("long").alias("c"), "w"), "match")
     n = match.count()
     while True:
-        free = match.where("c IS NULL").select("v", F.col("w").alias("wv"))
-        held = g.pins.join(order, "e").join(free, "v")
-        choice = held.groupBy("v", "wv").agg(F.min(F.struct("len", (-F.col("w")).alias("nw"), "e")).alias("b")).select("v", "wv", F.col("b.e").alias("e"))
+        choice = settled(hyperedge_choices(g, order, match), "choices")
         merged = choice.groupBy("e").agg(F.count("*").alias("n"), F.sum("wv").alias("sum"), F.min("v").alias("to")).where((F.col("n") > 1) & (F.col("sum") <= cap))
-        joined = settled(choice.join(merged.select("e", "to"), "e").select("v", "to"), "joined")
+        joined = settled(choice.join(merged.select("e", "to"), "e").select("v", "to").unionByName(cluster_requests(g, choice, match, cap)), "joined")
         match = settled(match.join(joined, "v", "left").select("v", F.coalesce("c", "to").alias("c"), "w"), "match")
         left = match.select(F.coalesce("c", "v").alias("c")).distinct().count()
         if joined.isEmpty() or left == 0 or n / left >= ratio:

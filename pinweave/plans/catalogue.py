@@ -325,6 +325,23 @@ def match_requests(g):
     return M.replies(settled(proposals, "proposals"), room, 90).select("seeker", "c", (F.col("c") % 2 == 1).alias("accepted"))
 
 
+@_query(
+    order_part_weighted,
+    """, free AS (SELECT v, w AS wv FROM verts WHERE v % 3 = 0), cl AS (SELECT v, w, v // 10 AS c FROM verts WHERE v % 3 <> 0),
+choice AS (SELECT * FROM (SELECT v, wv, e, len, row_number() OVER (PARTITION BY v ORDER BY len, lens.w DESC, e) AS n FROM pins JOIN free USING (v) JOIN lens USING (e) WHERE len > 1) WHERE n = 1),
+alone AS (SELECT e, min(v) AS seeker, min(wv) AS w, min(len) AS len FROM choice GROUP BY e HAVING count(*) = 1),
+room AS (SELECT c, 220 - sum(w) AS room FROM cl GROUP BY c),
+asked AS (SELECT * FROM (SELECT a.seeker, a.w, a.len, c, room, row_number() OVER (PARTITION BY a.seeker ORDER BY room DESC, c) AS n
+  FROM alone a JOIN (SELECT DISTINCT e, c FROM pins JOIN cl USING (v)) USING (e) JOIN room USING (c) WHERE a.w <= room) WHERE n = 1)
+SELECT seeker AS v, c AS "to" FROM (SELECT *, sum(w) OVER (PARTITION BY c ORDER BY len, seeker) AS upto FROM asked) WHERE upto <= room""",
+)
+def cluster_requests(g):
+    """Free vertices (those that 3 divides) that are alone in choosing their hyperedge, taken in by clusters of at most 220."""
+    match = settled(g.verts.select("v", F.when(F.col("v") % 3 != 0, F.floor(F.col("v") / 10)).cast("long").alias("c"), "w"), "match")
+    choice = settled(M.hyperedge_choices(g, A.edge_lengths(g).where("len > 1"), match), "choices")
+    return M.cluster_requests(g, choice, match, 220)
+
+
 # -- contraction and projection -----------------------------------------------
 
 _COARSE = """, coarse AS (SELECT DISTINCT e, v // 10 AS c FROM pins),
