@@ -34,11 +34,15 @@ GENERATION = 150_000
 KEPT = 40_000
 #: Bytes of text that are split at once; a longer text makes a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Pieces whose ids are put in place at once.
+STRETCH = 1 << 18
 
 #: One pre-token under every vocabulary here: normal form and lower case change each letter alone.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks behind a letter, which no vocabulary here joins to letters; none of them is part of a special string.
 _MARKS = ".,;:!?#*$%&"
+#: A plain word, and marks behind it.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -59,6 +63,16 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _cuts(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Where each text begins among all pieces, the distinct pieces, and which of them each piece is."""
+    # \r marks the first piece of a text: no space stands before it
+    mark, end = pa.scalar("\r", pa.large_string()), pa.scalar("", pa.large_string())
+    lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(mark, texts, end), "\n", " \n"), " ")
+    begins = lists.offsets.to_numpy()
+    words = lists.values.slice(begins[0], begins[-1] - begins[0]).dictionary_encode()
+    return begins - begins[0], words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+
+
 class Encoder:
     """Ids of texts under one vocabulary file.
 
@@ -75,7 +89,7 @@ class Encoder:
         small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.code = "H" if small else "I"
         self.dtype = np.dtype("<u2" if small else "<u4")
-        self.keeps_blanks = keeps_blanks
+        self.keeps_blanks, self.blank = keeps_blanks, " " if keeps_blanks else ""
         self.marks: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -95,33 +109,35 @@ class Encoder:
         self.young, self.old = dict(islice(self.young.items(), KEPT)), {}
         give_back()
 
+    def _age(self) -> None:
+        if len(self.young) > GENERATION:
+            self.old, self.young = self.young, {}
+
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        # \r marks the first piece of a text: no space stands before it
         texts = pc.fill_null(texts, "").cast(pa.large_string())
-        marked = pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), texts, pa.scalar("", pa.large_string()))
-        lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
-        begins = lists.offsets.to_numpy()
-        words = lists.values.slice(begins[0], begins[-1] - begins[0]).dictionary_encode()
-        begins = begins - begins[0]
-        pieces = words.dictionary.to_pylist()
-        which = words.indices.to_numpy(zero_copy_only=False)
+        begins, pieces, which = _cuts(texts)
         coded, odd = list(map(self.young.get, pieces)), np.zeros(len(pieces), bool)
-        for i in [i for i, known in enumerate(coded) if known is None]:
+        for nth, i in enumerate([i for i, known in enumerate(coded) if known is None]):
             x = pieces[i]
+            if not nth & 4095:
+                self._age()
             if known := self.old.get(x):
                 coded[i] = self.young[x] = known
+            elif plain := _MARKED.fullmatch(x):
+                coded[i] = self._word(x, *plain.groups())
             elif (core := x[1:] if x and x[0] in "\r\n" else x).split() == [core]:
                 coded[i] = self._piece(x)
             else:
                 coded[i], odd[i] = b"", True
-        if len(self.young) > GENERATION:
-            self.old, self.young = self.young, {}
+        self._age()
         width = self.dtype.itemsize
         n_of = np.fromiter(map(len, coded), np.int64, len(coded)) // width
         flat, first = np.frombuffer(b"".join(coded), self.dtype), np.cumsum(n_of) - n_of
-        n = n_of[which]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], np.cumsum(n_of[which])))
+        ids = np.empty(ends[-1], self.dtype)
+        for a in range(0, len(which), STRETCH):
+            own, at = which[a : a + STRETCH], ends[a : a + STRETCH + 1]
+            ids[at[0] : at[-1]] = flat[np.repeat(first[own] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])]
         counts = ends[begins[1:]] - ends[begins[:-1]]
         returns = pc.match_substring(texts, "\r").to_numpy(zero_copy_only=False)
         whole = np.flatnonzero(returns | (np.add.reduceat(odd[which], begins[:-1]) > 0))
@@ -132,6 +148,20 @@ class Encoder:
             counts, ids = np.array([len(x) for x in runs], np.int64), np.concatenate(runs)
         return counts, ids
 
+    def _word(self, piece: str, word: str, mark: str) -> bytes:
+        """Ids of a piece that is a plain word and marks, and is not in the memo."""
+        if mark and (known := self.young.get(word) or self.old.get(word)):
+            ids = known
+        else:
+            ids = self._encoded(word, self.blank, True)
+            if mark and len(word) <= LONGEST_KEPT:
+                self.young[word] = ids
+        if mark:
+            ids += self.marks.get(mark) or self._mark(mark)
+        if len(piece) <= LONGEST_KEPT:
+            self.young[piece] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece, from the memo where it has them."""
         known = self.young.get(piece) or self.old.get(piece) or self._parted(piece)
@@ -144,7 +174,7 @@ class Encoder:
         if piece[-1] in _MARKS and (word := piece.rstrip(_MARKS)) and word[-1].isalpha():
             return self._piece(word) + self._mark(piece[len(word) :])
         if piece[0] not in "\r\n":
-            return self._encoded(piece, " ") if self.keeps_blanks else self._encoded(piece, "")
+            return self._encoded(piece, self.blank)
         if piece[0] == "\r" or not self.keeps_blanks:
             return self._encoded(piece[1:], "")
         return self._mark("\n") + self._encoded(piece[1:], "")
@@ -156,9 +186,9 @@ class Encoder:
                 self.marks[mark] = known
         return known
 
-    def _encoded(self, word: str, before: str) -> bytes:
+    def _encoded(self, word: str, before: str, plain: bool = False) -> bytes:
         """The library's ids. A plain word is one pre-token and goes straight to the library's model."""
-        if _PLAIN.fullmatch(word):
+        if plain or _PLAIN.fullmatch(word):
             if not self.keeps_blanks:
                 word = word.lower()
             if not word.isascii():

@@ -152,3 +152,19 @@ def test_token_files_can_be_read_in_parts(spark, documents, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert found.count() == 1
+
+
+@pytest.mark.parametrize("keeps_blanks, file", [(False, "word_bpe_49k.json"), (True, "byte_bpe_50k.json")])
+def test_memo_stays_bounded_within_a_block(monkeypatch, keeps_blanks, file):
+    """A block of 40,000 distinct words does not stay in the memo whole, and its ids are the library's."""
+    from pinweave.llm import tokens as T
+
+    monkeypatch.setattr(T, "GENERATION", 1000)
+    monkeypatch.setattr(T, "STRETCH", 1000)
+    code = T.Encoder(T.vocabulary_path(file), keeps_blanks)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join("".join(letters[i // 26**k % 26] for k in range(4)) + ("", ".", "!?")[i % 3] for i in range(40_000))
+    ((_, counts, ids),) = code.blocks(pa.array([text, "", None, "Abc,\ndef. x"]))
+    plain = [code.library.encode(x, add_special_tokens=False).ids for x in (text, "", "", "Abc,\ndef. x")]
+    assert counts.tolist() == list(map(len, plain)) and ids.tolist() == sum(plain, [])
+    assert len(code.young) + len(code.old) < 20_000
