@@ -41,8 +41,9 @@ STRETCH = 1 << 18
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Marks behind a letter, which no vocabulary here joins to letters; none of them is part of a special string.
 _MARKS = ".,;:!?#*$%&"
-#: A plain word, and marks behind it.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&]*)")
+#: A plain word, and marks behind it, for Arrow.
+_LETTERS = "".join(map(chr, (*range(65, 91), *range(97, 123), *range(192, 215), *range(216, 247), *range(248, 256))))
+_MARKED = rf"\A[{_LETTERS}]+[{re.escape(_MARKS)}]*\z"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -53,7 +54,10 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_BYTES = pa.large_binary()
 _SPACE = chr(_BYTE_LETTERS[32])
+#: The letter of each byte, all of them: a table without gaps is what ``translate`` is fast with.
+_LETTER_OF = "".join(chr(_BYTE_LETTERS.get(b, b)) for b in range(256))
 
 
 def vocabulary_path(name: str) -> str:
@@ -63,14 +67,14 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _cuts(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _cuts(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Where each text begins among all pieces, the distinct pieces, and which of them each piece is."""
     # \r marks the first piece of a text: no space stands before it
     mark, end = pa.scalar("\r", pa.large_string()), pa.scalar("", pa.large_string())
     lists = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(mark, texts, end), "\n", " \n"), " ")
     begins = lists.offsets.to_numpy()
     words = lists.values.slice(begins[0], begins[-1] - begins[0]).dictionary_encode()
-    return begins - begins[0], words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    return begins - begins[0], words.dictionary, words.indices.to_numpy(zero_copy_only=False)
 
 
 class Encoder:
@@ -89,7 +93,7 @@ class Encoder:
         small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.code = "H" if small else "I"
         self.dtype = np.dtype("<u2" if small else "<u4")
-        self.keeps_blanks, self.blank = keeps_blanks, " " if keeps_blanks else ""
+        self.keeps_blanks, self.blank, self.space = keeps_blanks, *((" ", _SPACE) if keeps_blanks else ("", ""))
         self.marks: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -116,28 +120,31 @@ class Encoder:
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         begins, pieces, which = _cuts(texts)
-        coded, odd = list(map(self.young.get, pieces)), np.zeros(len(pieces), bool)
-        for nth, i in enumerate([i for i, known in enumerate(coded) if known is None]):
-            x = pieces[i]
+        plain = pc.match_substring_regex(pieces, _MARKED).to_numpy(zero_copy_only=False)
+        words, marks = (x.dictionary_encode() for x in self._parts(pieces.filter(pa.array(plain))))
+        word_ids, mark_ids = pa.array(self._words(words.dictionary.to_pylist()), _BYTES), pa.array(map(self._mark, marks.dictionary.to_pylist()), _BYTES)
+        marked = pc.binary_join_element_wise(word_ids.take(words.indices), mark_ids.take(marks.indices), pa.scalar(b"", _BYTES))
+        rest, odd = [], np.zeros(len(pieces), bool)
+        for nth, (i, x) in enumerate(zip(np.flatnonzero(~plain).tolist(), pieces.filter(pa.array(~plain)).to_pylist(), strict=True)):
             if not nth & 4095:
                 self._age()
-            if known := self.old.get(x):
-                coded[i] = self.young[x] = known
-            elif plain := _MARKED.fullmatch(x):
-                coded[i] = self._word(x, *plain.groups())
+            if known := self.young.get(x) or self.old.get(x):
+                rest.append(known)
             elif (core := x[1:] if x and x[0] in "\r\n" else x).split() == [core]:
-                coded[i] = self._piece(x)
+                rest.append(self._piece(x))
             else:
-                coded[i], odd[i] = b"", True
+                rest.append(b"")
+                odd[i] = True
+        place = np.argsort(np.argsort(~plain, kind="stable"), kind="stable")
+        coded = pa.concat_arrays([marked, pa.array(rest, _BYTES)]).take(pa.array(place))
         self._age()
         width = self.dtype.itemsize
-        n_of = np.fromiter(map(len, coded), np.int64, len(coded)) // width
-        flat, first = np.frombuffer(b"".join(coded), self.dtype), np.cumsum(n_of) - n_of
-        ends = np.concatenate(([0], np.cumsum(n_of[which])))
+        ends = np.concatenate(([0], np.cumsum(pc.binary_length(coded).to_numpy()[which] // width)))
         ids = np.empty(ends[-1], self.dtype)
         for a in range(0, len(which), STRETCH):
-            own, at = which[a : a + STRETCH], ends[a : a + STRETCH + 1]
-            ids[at[0] : at[-1]] = flat[np.repeat(first[own] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])]
+            own = coded.take(pa.array(which[a : a + STRETCH])).buffers()[2]
+            at, to = ends[a], ends[min(a + STRETCH, len(which))]
+            ids[at:to] = np.frombuffer(own or b"", self.dtype, to - at)
         counts = ends[begins[1:]] - ends[begins[:-1]]
         returns = pc.match_substring(texts, "\r").to_numpy(zero_copy_only=False)
         whole = np.flatnonzero(returns | (np.add.reduceat(odd[which], begins[:-1]) > 0))
@@ -148,19 +155,22 @@ class Encoder:
             counts, ids = np.array([len(x) for x in runs], np.int64), np.concatenate(runs)
         return counts, ids
 
-    def _word(self, piece: str, word: str, mark: str) -> bytes:
-        """Ids of a piece that is a plain word and marks, and is not in the memo."""
-        if mark and (known := self.young.get(word) or self.old.get(word)):
-            ids = known
-        else:
-            ids = self._encoded(word, self.blank, True)
-            if mark and len(word) <= LONGEST_KEPT:
-                self.young[word] = ids
-        if mark:
-            ids += self.marks.get(mark) or self._mark(mark)
-        if len(piece) <= LONGEST_KEPT:
-            self.young[piece] = ids
-        return ids
+    @staticmethod
+    def _parts(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Plain words, and the marks behind them."""
+        return pc.utf8_rtrim(pieces, _MARKS), pc.utf8_ltrim(pieces, _LETTERS)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct plain words, from the memo where it has them."""
+        out = list(map(self.young.get, words))
+        for nth, i in enumerate([i for i, known in enumerate(out) if known is None]):
+            x = words[i]
+            if not nth & 4095:
+                self._age()
+            out[i] = known = self.old.get(x) or self._plain(x)
+            if len(x) <= LONGEST_KEPT:
+                self.young[x] = known
+        return out
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece, from the memo where it has them."""
@@ -180,23 +190,27 @@ class Encoder:
         return self._mark("\n") + self._encoded(piece[1:], "")
 
     def _mark(self, mark: str) -> bytes:
+        if not mark:
+            return b""
         if (known := self.marks.get(mark)) is None:
             known = self._encoded(mark, "")
             if len(mark) <= LONGEST_MARK:
                 self.marks[mark] = known
         return known
 
-    def _encoded(self, word: str, before: str, plain: bool = False) -> bytes:
-        """The library's ids. A plain word is one pre-token and goes straight to the library's model."""
-        if plain or _PLAIN.fullmatch(word):
-            if not self.keeps_blanks:
-                word = word.lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = [t.id for t in self.tokenize(_SPACE + word if before else word)]
-        else:
-            ids = self.library.encode(before + word, add_special_tokens=False).ids
-        return array(self.code, ids).tobytes()
+    def _encoded(self, word: str, before: str) -> bytes:
+        """The library's ids."""
+        if _PLAIN.fullmatch(word):
+            return self._plain(word, _SPACE if before else "")
+        return array(self.code, self.library.encode(before + word, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, word: str, before: str | None = None) -> bytes:
+        """Ids of a plain word, behind a blank where those are kept: it is one pre-token and goes straight to the library's model."""
+        if not self.keeps_blanks:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTER_OF)
+        return array(self.code, [t.id for t in self.tokenize((self.space if before is None else before) + word)]).tobytes()
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

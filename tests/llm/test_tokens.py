@@ -168,3 +168,15 @@ def test_memo_stays_bounded_within_a_block(monkeypatch, keeps_blanks, file):
     plain = [code.library.encode(x, add_special_tokens=False).ids for x in (text, "", "", "Abc,\ndef. x")]
     assert counts.tolist() == list(map(len, plain)) and ids.tolist() == sum(plain, [])
     assert len(code.young) + len(code.old) < 20_000
+
+
+def test_long_words_are_encoded_once_a_block():
+    """Before, the ids of a word too long for the memo were sought again for each run of marks behind it."""
+    from pinweave.llm import tokens as T
+
+    code, asked = T.Encoder(T.vocabulary_path("byte_bpe_50k.json"), True), []
+    real, code.tokenize = code.tokenize, lambda x: asked.append(x) or real(x)
+    text = "a " + " ".join("Wörterbuch" * 5 + mark for mark in ("", ",", ".", "?!", ","))
+    ((_, counts, ids),) = code.blocks(pa.array([text]))
+    assert ids.tolist() == code.library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert sum(len(x) > 50 for x in asked) == 1
