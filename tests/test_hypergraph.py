@@ -194,3 +194,18 @@ def test_scores_of_seekers_and_hosts_only(g, halves, monkeypatch, metric):
         seekers = g.verts.where("v % 2 = 1").select(F.col("v").alias("seeker"), "w")
         hosts = g.verts.where("v % 2 = 0").selectExpr("v AS u", "v AS host", "1L AS room", "w AS wu")
         assert {(r.seeker, r.u): r.score for r in pairs(seekers, hosts).collect()} == want != {}
+
+
+@pytest.mark.parametrize("clusters", [[0, 0, 0, 3, 3, 3], [0, 1, 0, 0, 1, 1], [0, 1, 2, 3, 4, 5]])
+def test_short_hyperedges_are_compared_as_lists(spark, g, monkeypatch, clusters):
+    """The same coarse graph by lists of pins, by hashes and by the fallback for graphs of long hyperedges; lists take no rounds."""
+    match = _map(spark, clusters, "c")
+    monkeypatch.setattr(C, "SHORT", 2)
+    long = C.contract(g, match)
+    monkeypatch.undo()
+    rounds = []
+    monkeypatch.setattr(C, "settled", lambda df, name: rounds.append(name) or df)
+    short = C.contract(g, match)
+    assert rounds == ["merged"]
+    for x, y in zip((short.verts, short.hedges, short.pins), (long.verts, long.hedges, long.pins)):
+        assert _rows(x) == _rows(y)
