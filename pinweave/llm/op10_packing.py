@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pinweave.llm.tables import lean, table
-from pinweave.llm.tokens import BLOCK_BYTES, encoder, vocabulary_path
+from pinweave.llm.tables import BATCH_BYTES, give_back, lean, table
+from pinweave.llm.tokens import encoder, vocabulary_path
 from pinweave.storage import settled
 
 _PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, shard int, nth long"
@@ -104,39 +104,46 @@ def slots(plan: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, tuple
     return {k: tuple(np.array(x, np.int64) for x in zip(*v, strict=True)) for k, v in rows.items()}
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:
-    """Every document's ids, cut at multiples of ``size``, with each piece's number among its task's pieces of that length."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, seen = TaskContext.get().partitionId(), Counter()
-        code = encoder(vocabulary_path(vocabulary), keeps_blanks=True)
-        out: list[tuple] = []
-        held = 0
-        for batch in batches:
-            doc_ids = batch.column("doc_id")
-            for at, counts, ids in code.blocks(batch.column("text")):
-                ends = np.cumsum(counts)
-                for i, (n, to) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
-                    own = np.append(ids[to - n : to], ids.dtype.type(end_id)).astype("<u4").tobytes()
-                    doc_id = doc_ids[at + i].as_py()
-                    for start in range(0, n + 1, size):
-                        length = min(size, n + 1 - start)
-                        out.append((doc_id, start, length, n + 1, own[4 * start : 4 * (start + length)], shard, seen[length]))
-                        seen[length] += 1
-                        held += 4 * length
-                    if held >= _OUT_BYTES:
-                        yield rows(out)
-                        out, held = [], 0
-        code.rest()
-        if out:
-            yield rows(out)
+def cut_texts(batches: Iterator[pa.RecordBatch], shard: int, vocabulary: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task's documents; what a block of texts took is given back before the next, as other tasks share the memory."""
+    seen = Counter()
+    code = encoder(vocabulary_path(vocabulary), keeps_blanks=True)
+    out: list[tuple] = []
+    held = 0
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         names = [x.split()[0] for x in _PIECES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return lean(docs, BLOCK_BYTES).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
+    for batch in batches:
+        doc_ids = batch.column("doc_id")
+        for at, counts, ids in code.blocks(batch.column("text"), BATCH_BYTES):
+            ends = np.cumsum(counts)
+            for i, (n, to) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
+                own = np.append(ids[to - n : to], ids.dtype.type(end_id)).astype("<u4").tobytes()
+                doc_id = doc_ids[at + i].as_py()
+                for start in range(0, n + 1, size):
+                    length = min(size, n + 1 - start)
+                    out.append((doc_id, start, length, n + 1, own[4 * start : 4 * (start + length)], shard, seen[length]))
+                    seen[length] += 1
+                    held += 4 * length
+                if held >= _OUT_BYTES:
+                    yield rows(out)
+                    out, held = [], 0
+            give_back()
+    code.rest()
+    if out:
+        yield rows(out)
+
+
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, size: int) -> DataFrame:
+    """Every document's ids, cut at multiples of ``size``, with each piece's number among its task's pieces of that length."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cut_texts(batches, TaskContext.get().partitionId(), vocabulary, end_id, size)
+
+    return lean(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, _PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, size: int = 1024) -> DataFrame:

@@ -98,12 +98,12 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def blocks(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, number of ids of each row, all ids) for runs of rows."""
+    def blocks(self, texts: pa.Array, most_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, number of ids of each row, all ids) for runs of rows of ``most_bytes``, or of one longer text."""
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
-            most = (sizes[at - 1] if at else 0) + BLOCK_BYTES
+            most = (sizes[at - 1] if at else 0) + most_bytes
             to = max(at + 1, int(np.searchsorted(sizes, most, side="right")))
             yield at, *self._block(texts.slice(at, to - at))
             at = to

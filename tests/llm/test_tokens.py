@@ -180,3 +180,24 @@ def test_long_words_are_encoded_once_a_block():
     ((_, counts, ids),) = code.blocks(pa.array([text]))
     assert ids.tolist() == code.library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
     assert sum(len(x) > 50 for x in asked) == 1
+
+
+def test_a_batch_is_encoded_in_small_blocks():
+    """16 MB of text in one batch took some 150 MB beyond it when it was one block; two such tasks share an executor."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = np.array([a + b + c for a in "abcdefghijkl" for b in "aeiouy" for c in "klmnprst"])
+    texts = [" ".join(words[own]) for own in rng.integers(0, len(words), (4200, 1000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    assert batch.nbytes > 16 << 20
+    own, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        n = sum(len(x) for x in op10_packing.cut_texts(iter([batch]), 0, "byte_bpe_50k.json", 0, 1024))
+        took = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(own)
+    assert n >= len(texts) and took < 80 << 20, took
