@@ -8,7 +8,7 @@ from pinweave.operators import filters as S
 from pinweave.operators import match as M
 from pinweave.operators import metrics as A
 from pinweave.operators import refine as R
-from pinweave.operators.model import Hypergraph, hypergraph
+from pinweave.operators.model import Hypergraph, hypergraph, order_part
 
 EDGES = {0: ([0, 1, 2], 1), 1: ([2, 3], 2), 2: ([3, 4, 5], 1), 3: ([0, 5], 1), 4: ([1], 1)}
 
@@ -209,3 +209,12 @@ def test_short_hyperedges_are_compared_as_lists(spark, g, monkeypatch, clusters)
     assert rounds == ["merged"]
     for x, y in zip((short.verts, short.hedges, short.pins), (long.verts, long.hedges, long.pins)):
         assert _rows(x) == _rows(y)
+
+
+def test_exploded_partitions_are_not_sent_to_all(spark):
+    """Spark takes candidates for as few rows as vertices, so of larger tables it sent more to all tasks than a driver holds."""
+    tables = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    many = order_part(tables)
+    parts = many.verts.selectExpr("explode(sequence(0, 5)) AS pid", "v").selectExpr("pid", "v", "(v + pid) % 4 AS part")
+    joins = [x for x in A.cuts(many, parts)._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [v#" in x]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
